@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from lawmill.llm.suffix_tree import op2_suffix_tree
 from lawmill.llm.token_bins import op1_token_bins
 
-QUERIES = {f.__name__: f for f in (op1_token_bins,)}
+QUERIES = {f.__name__: f for f in (op1_token_bins, op2_suffix_tree)}
 ORACLES: dict[str, str] = {}
