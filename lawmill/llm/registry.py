@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from lawmill.llm.mixing import op8_source_mix
+from lawmill.llm.quality import op6_quality_ftrl
 from lawmill.llm.suffix_tree import op2_suffix_tree
 from lawmill.llm.token_bins import op1_token_bins
 
-QUERIES = {f.__name__: f for f in (op1_token_bins, op2_suffix_tree, op8_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_bins, op2_suffix_tree, op6_quality_ftrl, op8_source_mix)}
 ORACLES: dict[str, str] = {}
