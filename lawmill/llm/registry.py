@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from lawmill.llm.language_mixture import op5_language_mixture
+from lawmill.llm.license_join import op9_license_join
 from lawmill.llm.mixing import op8_source_mix
 from lawmill.llm.quality import op6_quality_ftrl
 from lawmill.llm.suffix_tree import op2_suffix_tree
 from lawmill.llm.token_bins import op1_token_bins
 
-QUERIES = {f.__name__: f for f in (op1_token_bins, op2_suffix_tree, op5_language_mixture, op6_quality_ftrl, op8_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_token_bins, op2_suffix_tree, op5_language_mixture, op6_quality_ftrl, op8_source_mix, op9_license_join)}
 ORACLES: dict[str, str] = {}
