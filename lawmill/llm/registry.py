@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lawmill.llm.embedding_tiles import op3_embedding_tiles
 from lawmill.llm.language_mixture import op5_language_mixture
 from lawmill.llm.license_join import op9_license_join
 from lawmill.llm.mixing import op8_source_mix
@@ -10,5 +11,5 @@ from lawmill.llm.simhash import op7_simhash
 from lawmill.llm.suffix_tree import op2_suffix_tree
 from lawmill.llm.token_bins import op1_token_bins
 
-QUERIES = {f.__name__: f for f in (op1_token_bins, op2_suffix_tree, op5_language_mixture, op6_quality_ftrl, op7_simhash, op8_source_mix, op9_license_join)}
+QUERIES = {f.__name__: f for f in (op1_token_bins, op2_suffix_tree, op3_embedding_tiles, op5_language_mixture, op6_quality_ftrl, op7_simhash, op8_source_mix, op9_license_join)}
 ORACLES: dict[str, str] = {}
