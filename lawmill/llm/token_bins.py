@@ -33,7 +33,7 @@ SHARD_BYTES = 64 << 20
 INDEX = "doc_id long, shard int, offset long, length long, before long, n_tokens long, ids_crc32 long"
 _HEAD = struct.Struct("<qBB")
 _CACHE: dict[str, tuple] = {}
-_MOST_WORDS = 150_000
+_MOST_WORDS = 600_000
 
 
 def masked(crc: int) -> int:
@@ -76,10 +76,12 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
 class Encoder:
     """The ids of whole texts.
 
-    The tokenizer's pattern always cuts between a character that is no white space and a following blank, so a text may
-    be cut there and each piece encoded alone. Pieces repeat, so each is encoded once and kept; encoding in batches and
-    dropping all kept pieces at `most` bounds the memory. A piece that starts with blanks after white space stays joined
-    to what precedes it. Strings of special tokens in a text are ordinary text.
+    The tokenizer's pattern always cuts between a character that is no white space and a following blank or line end,
+    and between a letter and a following stop or comma; so a text may be cut there and each piece encoded alone. Pieces
+    repeat, so each is encoded once and kept; dropping all kept pieces at `most` bounds the memory. Texts in which
+    white space or marks follow each other are cut with care, before blanks only. Most pieces are a single run of the pattern and go
+    to the vocabulary's merges directly; others take the whole tokenizer. Strings of special tokens in a text are
+    ordinary text.
     """
 
     def __init__(self, path: str, most: int = _MOST_WORDS):
@@ -91,21 +93,25 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
         self.most = most
-        self.odd = regex.compile(r"\s ")
+        self.odd = regex.compile(r"\s[ \n]|[^\p{L}\s][.,]|\s[.,]|^[.,]|\0")
         self.cut = regex.compile(r"(?<=\S)(?= )")
+        self.run = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s").fullmatch
+        # the printable stand-ins of bytes in a byte-level vocabulary
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(other)}
 
     def pieces(self, text: str) -> list[str]:
         if self.odd.search(text):
             return self.cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Texts go in groups, so that the pieces of a group fit beside the kept ones."""
         group, size = [], 0
         for text in texts:
             group.append(self.pieces(text) if text else [])
-            size += len(text)
+            size += len(text or "")
             if size > 4_000_000:
                 yield from self.group(group)
                 group, size = [], 0
@@ -114,11 +120,15 @@ class Encoder:
     def group(self, group: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self.kept) > self.most:
             self.kept.clear()
-        new = list(set().union(*group).difference(self.kept))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[piece] = np.array(code.ids, "<u4").tobytes()
+        hard, merge = [], self.tokenizer.model.tokenize
+        for piece in set().union(*group).difference(self.kept):
+            if self.run(piece):
+                ids = [x.id for x in merge(piece.encode().decode("latin1").translate(self.letters))]
+                self.kept[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                hard.append(piece)
+        for piece, code in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
+            self.kept[piece] = struct.pack(f"<{len(code.ids)}I", *code.ids)
         for pieces in group:
             yield np.frombuffer(b"".join(map(self.kept.__getitem__, pieces)), "<u4")
 
