@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lawmill.llm.common import materialize
+from lawmill.llm.latent_leaks import decontamination_stage
+from lawmill.llm.mixing import mixing_stage
+from lawmill.llm.quality import quality_stage
+from lawmill.llm.simhash import simhash_stage
 from lawmill.llm.token_bins import token_bins_stage
 
-STAGES = [("token_bins", token_bins_stage)]
+#: Each takes (spark, docs, sf_dir) and works on all that the one before it kept.
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_bins", token_bins_stage),
+]
+#: Training, fingerprints and the tokenizer are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -117,15 +117,14 @@ def plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source", "size"]].assign(whole=whole, more=more)
 
 
-def mix_sources(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for docs(doc_id, text, source).
+def row_hash(seed: int) -> Column:
+    return F.xxhash64("doc_id", "text", F.lit(seed))
 
-    taken is 0, 1 or 2 times size, so no word is taken more than twice. Null texts have size 0 and are never taken; a
-    null source is a source of its own, the last; rows that share doc_id and everything else are ranked by their text's
-    hash and, where that ties, arbitrarily but with the same total. Empty tables give no rows; other columns are not read.
-    """
+
+def choose(docs: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with source, doc_id, size, h and copies, sources with source_size and target)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rank = F.xxhash64("doc_id", "text", F.lit(seed))
+    rank = row_hash(seed)
     sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), rank.alias("h"))
     sized = materialize(sized.withColumn("slot", F.pmod("h", F.lit(SLOTS)).cast("int")), "mix-sizes")
     slots = materialize(sized.groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("n")), "mix-slots")
@@ -151,10 +150,36 @@ def mix_sources(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> Data
     partly = (F.col("k") > 0) & (F.col("k") < F.col("n"))
     ranked = dealt.where(partly).withColumn("r", F.row_number().over(w)).withColumn("extra", (F.col("r") <= F.col("k")).cast("int")).drop("r")
     plain = dealt.where(~partly).withColumn("extra", (F.col("k") > 0).cast("int"))
-    taken = plain.unionByName(ranked).alias("t")
+    taken = plain.unionByName(ranked).withColumn("copies", F.col("whole") + F.col("extra"))
+    return taken.select("source", "doc_id", "size", "h", "copies"), aims
+
+
+def mix_sources(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for docs(doc_id, text, source).
+
+    taken is 0, 1 or 2 times size, so no word is taken more than twice. Null texts have size 0 and are never taken; a
+    null source is a source of its own, the last; rows that share doc_id and everything else are ranked by their text's
+    hash and, where that ties, arbitrarily but with the same total. Empty tables give no rows; other columns are not read.
+    """
+    taken, aims = choose(docs, share, seed)
+    taken = taken.alias("t")
     out = taken.join(F.broadcast(aims).alias("a") if aims.count() <= 100_000 else aims.alias("a"), F.col("t.source").eqNullSafe(F.col("a.source")))
-    return out.select("t.doc_id", "t.size", "a.source_size", "a.target", (F.col("t.size") * (F.col("whole") + F.col("extra"))).alias("taken"))
+    return out.select("t.doc_id", "t.size", "a.source_size", "a.target", (F.col("t.size") * F.col("copies")).alias("taken"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, all columns kept; rows alike in id, text and source share their copies."""
+    taken, _ = choose(docs, SHARE, SEED)
+    taken = taken.groupBy(F.col("h").alias("__h"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
+    plan = materialize(taken.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__alike")).where("__copies > 0"), "mix-copies")
+    keyed = docs.withColumn("__key", row_hash(SEED))
+    same = (F.col("__key") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+    joined = keyed.join(plan, same)
+    turn = F.row_number().over(Window.partitionBy("__key", "doc_id", "source").orderBy(F.lit(0)))
+    each = F.floor(F.col("__copies") / F.col("__alike")) + (turn <= F.col("__copies") % F.col("__alike")).cast("long")
+    counted = joined.withColumn("__n", each.cast("int")).where("__n > 0")
+    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
