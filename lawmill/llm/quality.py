@@ -119,7 +119,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, seed: int = 6) -> np.ndarray:
     return np.frombuffer(got[0], "<f4").copy() if got else np.zeros(1 << BITS, np.float32)
 
 
-def score_texts(weights):
+def score_texts(weights, name: str):
     def run(batches: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for batch in batches:
@@ -128,17 +128,17 @@ def score_texts(weights):
                 f = features(raw)
                 x = float(w[f].sum(dtype=np.float64)) * _SCALE / len(f) + (float(w[0]) if raw and f.any() else 0.0)
                 out.append(1 / (1 + np.exp(-np.clip(x, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], name])
 
     return run
 
 
-def classify(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and score; null and empty texts have a score too, that of no words."""
+def classify(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and the score under `name`; null and empty texts have a score too, that of no words."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select(*keep, F.col("text").cast("string").cast("binary").alias("__raw"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score_texts(shared), f"{kinds}, score double")
+    return rows.mapInArrow(score_texts(shared, name), f"{kinds}, {name} double")
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -161,5 +161,5 @@ def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score reaches the threshold, all columns kept."""
     names = docs.columns
-    scored = classify(docs.withColumn("__text", F.col("text")), fit_on_labels(spark, docs, sf_dir), [*names])
-    return scored.where(F.col("score") >= THRESHOLD).select(*names)
+    scored = classify(docs, fit_on_labels(spark, docs, sf_dir), names, "__score")
+    return scored.where(F.col("__score") >= THRESHOLD).select(*names)

@@ -188,7 +188,8 @@ def write_token_bins(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
     """
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 60) // shard_bytes // 4)
+    # Spark says "huge" where it does not know; then the session decides
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // shard_bytes if size < 1 << 60 else 1)
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
     dealt = keyed.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     framed = dealt.select("doc_id", "text").mapInArrow(encode_frames(tokenizer, end_id), "frame binary")
