@@ -7,11 +7,26 @@ from lawmill.llm.language_mixture import op5_language_mixture
 from lawmill.llm.latent_leaks import op10_latent_leaks
 from lawmill.llm.license_join import op9_license_join
 from lawmill.llm.mixing import op8_source_mix
+from lawmill.llm.oracles import ORACLES
 from lawmill.llm.quality import op6_quality_ftrl
 from lawmill.llm.simhash import op7_simhash
 from lawmill.llm.substring_runs import op4_substring_runs
 from lawmill.llm.suffix_tree import op2_suffix_tree
 from lawmill.llm.token_bins import op1_token_bins
 
-QUERIES = {f.__name__: f for f in (op1_token_bins, op2_suffix_tree, op3_embedding_tiles, op4_substring_runs, op5_language_mixture, op6_quality_ftrl, op7_simhash, op8_source_mix, op9_license_join, op10_latent_leaks)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_bins,
+        op2_suffix_tree,
+        op3_embedding_tiles,
+        op4_substring_runs,
+        op5_language_mixture,
+        op6_quality_ftrl,
+        op7_simhash,
+        op8_source_mix,
+        op9_license_join,
+        op10_latent_leaks,
+    )
+}
+__all__ = ["ORACLES", "QUERIES"]
