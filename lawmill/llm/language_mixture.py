@@ -146,29 +146,46 @@ def mixture(ll: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+_GROUP = 2_000_000
+
+
+def groups(texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """The words of the texts, some at a time, so that new words are learned together."""
+    group, size = [], 0
+    for text in texts:
+        group.append(letters(text))
+        size += len(text or "")
+        if size > _GROUP:
+            yield group
+            group, size = [], 0
+    yield group
+
+
 def predict_texts(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = model.value
         known = Words(logp)
         for batch in batches:
             pred, score, sets = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                words = letters(text)
-                if not words or not langs:
-                    pred.append("und")
-                    score.append(0.0)
-                    sets.append([])
-                    continue
-                known.learn(set(words))
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                at, n = np.unique(at, return_counts=True)
-                share = mixture(known.rows[at], n.astype(float))
-                top = int(np.argmax(share))
-                pred.append(langs[top])
-                score.append(min(1.0, float(share[top])))
-                sets.append([(langs[i], float(share[i])) for i in np.argsort(-share, kind="stable") if share[i] > 0])
+            for group in groups(batch.column(batch.num_columns - 1).to_pylist()):
+                if langs:
+                    known.learn(set().union(*group))
+                for words in group:
+                    if not words or not langs:
+                        pred.append("und")
+                        score.append(0.0)
+                        sets.append([])
+                        continue
+                    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                    at.sort()
+                    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                    share = mixture(known.rows[at[first]], np.diff(first, append=len(at)).astype(float))
+                    order = np.argsort(-share, kind="stable")
+                    pred.append(langs[order[0]])
+                    score.append(min(1.0, float(share[order[0]])))
+                    sets.append([{"lang": langs[i], "share": float(share[i])} for i in order if share[i] > 0])
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array([[{"lang": a, "share": b} for a, b in x] for x in sets], kind)]
+            made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "lang_pred", "score", "languages"])
 
     return run
