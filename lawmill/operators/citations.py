@@ -32,11 +32,9 @@ def total(cited: DataFrame) -> DataFrame:
 
 def explode_laws(cited: DataFrame, entry: str = "entry_index") -> DataFrame:
     """[PRJ-4, WIN-9] One row a citation with entry and law index; entries are numbered by name."""
-    from pyspark.sql.window import Window
+    from lawmill.operators.corpus import numbered
 
-    names = cited.select("file_name").distinct()
-    numbered = names.withColumn(entry, F.row_number().over(Window.orderBy("file_name")) - 1)
-    return cited.join(numbered, "file_name").select("file_name", entry, F.posexplode("laws_cited").alias("law_index", "input"))
+    return cited.join(numbered(cited.select("file_name").distinct(), ["file_name"], entry), "file_name").select("file_name", entry, F.posexplode("laws_cited").alias("law_index", "input"))
 
 
 def best_title(laws: DataFrame, titles: DataFrame, key: str, law: str = "law", title: str = "title") -> DataFrame:

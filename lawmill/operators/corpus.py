@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T_
 
 from lawmill.functions import text as T
 
 PAD, UNKNOWN = 0, 1
 
 
+def numbered(rows: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
+    """rows with an int column name that counts them in order: range partitions, then offsets, no single task."""
+    schema = T_.StructType([*rows.schema.fields, T_.StructField(name, T_.LongType())])
+    counted = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first))
+    return rows.sparkSession.createDataFrame(counted, schema).withColumn(name, F.col(name).cast("int"))
+
+
 def word_counts(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
     """[AGG-3, FLT-17] (token, cnt): every token and its lower case count, so lower-case tokens count twice."""
     t = docs.select(F.explode(T.tokens(F.col(text))).alias("t"))
@@ -31,7 +38,7 @@ def vocabulary(counts: DataFrame, key: str, first: str | None = None, most: int
     """[SRT-5, FLT-17] (key, id): ids from 2 by falling count, ties by first place (or by the key itself)."""
     order = [F.desc("cnt"), F.col(first or key)]
     ranked = counts.orderBy(*order).limit(most) if most else counts
-    return ranked.select(key, (F.row_number().over(Window.orderBy(*order)) + 1).alias("id"))
+    return numbered(ranked, order, "id", 2).select(key, "id")
 
 
 def encode(tokens: Column, ids: Column, lower: bool = True) -> Column:

@@ -120,3 +120,27 @@ def write_triage(labelled: DataFrame, unlabelled: DataFrame, filtered: DataFrame
 def write_texts(df: DataFrame, folder: str, text: str = "text") -> None:
     """[SNK-8, SNK-9, SNK-10] Markdown, HTML or JSON strings as text files, by Spark's own committer."""
     df.select(F.col(text).alias("value")).write.mode("overwrite").text(folder)
+
+
+def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """[SNK-11] Each row's bytes as a file of its own in a shared folder (any that Arrow opens); returns (name, size).
+
+    A file is written under a task's own name and then renamed, so a task that runs twice leaves one whole file.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(root)
+        task = TaskContext.get().taskAttemptId()
+        for pdf in batches:
+            for n, data in zip(pdf["name"], pdf["content"], strict=True):
+                with store.open_output_stream(f"{root}/.{n}.{task}") as f:
+                    f.write(bytes(data))
+                store.move(f"{root}/.{n}.{task}", f"{root}/{n}")
+            yield pd.DataFrame({"name": pdf["name"], "size": [len(x) for x in pdf["content"]]})
+
+    rows = df.select(F.col(name).alias("name"), F.col(content).alias("content")).where("content is not null")
+    return rows.mapInPandas(run, "name string, size long")
