@@ -200,7 +200,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; documents without doc_id stay."""
+    """One document of each group, that with the smallest doc_id, all columns kept.
+
+    Rows that repeat this doc_id are the same document and all stay; so do rows without doc_id, which no id can single out.
+    """
     kept = group_documents(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     once = docs.where("doc_id is not null").join(materialize(kept, "simhash-kept"), F.col("doc_id") == F.col("__id"), "left_semi")
     return once.unionByName(docs.where("doc_id is null"))
