@@ -9,7 +9,8 @@ sentence) must be found there too.
 
 Only words of the benchmark have a place in the latent space. What a word can add to an item's weight is known for
 every word; a window whose words, each at its best, cannot reach the share that any item requires is passed over by
-this bound, without a product. Nothing else is skipped, every window of every text is judged.
+this bound, without a product. Nothing else is skipped, every window of every text is judged. Windows are doubled until
+the longest item of a block is covered, so an item of any length fits into the window it is sought with.
 
 The benchmark is the query set: it goes to all documents in blocks of at most `block` items, so what is broadcast at
 once is bounded whatever its size. Documents are read once for the frequencies and once for each block; nothing of
@@ -33,6 +34,7 @@ from lawmill.llm.common import table, union_all
 
 RANK, OVERSAMPLE, TURNS = 192, 16, 2
 STEP = 8
+#: Doubled on until the longest item of a block is covered; from the last one here on the step grows with the width.
 WINDOWS = (24, 48, 96, 192, 384)
 #: Least cosine in the latent space and least share of an item's weight in a window.
 COSINE, SHARE = 0.45, 0.45
@@ -60,6 +62,14 @@ def answer_start(text: str) -> int:
     return starts[-1] if starts else n - max(1, n // 3)
 
 
+def bits_of(words: list[str]) -> dict[str, int]:
+    """word -> its places as bits."""
+    bits: dict[str, int] = {}
+    for i, w in enumerate(words):
+        bits[w] = bits.get(w, 0) | 1 << i
+    return bits
+
+
 def common(item: dict[str, int], n: int, region: list[str]) -> int:
     """Bits of the item's words in a longest common subsequence with region (bit-parallel); item has the places of words as bits."""
     full, v = (1 << n) - 1, (1 << n) - 1
@@ -140,14 +150,13 @@ class Items:
         self.size = np.array([len(ws) for ws in self.words])
         self.least = SHARE * self.norm
         self.answer = [answer_start(t) for t in texts]
-        self.bits = []
-        for ws in self.words:
-            bits: dict[str, int] = {}
-            for i, w in enumerate(ws):
-                bits[w] = bits.get(w, 0) | 1 << i
-            self.bits.append(bits)
-        # an item is sought with the window that is next to its length
-        self.window = np.array([next((k for k, w in enumerate(WINDOWS) if w >= n), len(WINDOWS) - 1) for n in self.size])
+        self.widths = list(WINDOWS)
+        while self.widths[-1] < self.size.max():
+            self.widths.append(2 * self.widths[-1])
+        # places of a long item's words take the square of its length and are made where it is a candidate
+        self.bits = [bits_of(ws) if len(ws) <= WINDOWS[-1] else None for ws in self.words]
+        # an item is sought with the least window that is as long as itself
+        self.window = np.searchsorted(self.widths, self.size)
         # the most that one occurrence of each word adds to the share of any item of a window
         self.most = {}
         for k in np.unique(self.window).tolist():
@@ -161,21 +170,27 @@ class Items:
         """(item, cosine, lcs, answer, first word) of the items found in a text, the best place of each."""
         at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
         best: dict[int, tuple] = {}
+        long: dict[int, dict[str, int]] = {}
         for k, (mine, most) in self.most.items():
-            width = WINDOWS[k]
+            width = self.widths[k]
+            step = max(STEP, STEP * width // WINDOWS[-1])
             sums = np.concatenate([[0.0], np.cumsum(most[at])])
-            starts = np.arange(0, max(1, len(words) - width + STEP), STEP)
+            starts = np.arange(0, max(1, len(words) - width + step), step)
             starts = starts[sums[np.minimum(starts + width, len(words))] - sums[starts] >= SHARE - 1e-4]
             for part in np.array_split(starts, max(1, len(starts) // 512)):
                 if len(part):
-                    self._judge(words, at, part, width, mine, best)
+                    self._judge(words, at, part, width, mine, best, long)
         for i, (_, row) in sorted(best.items()):
             yield i, *row
 
-    def _judge(self, words, at, starts, width, mine, best) -> None:
+    def _judge(self, words, at, starts, width, mine, best, long) -> None:
         spans = [at[s : s + width] for s in starts]
         spans = [x[x >= 0] for x in spans]
-        x = np.stack([self.rows[p].sum(0) for p in spans])
+        if width > WINDOWS[-1]:  # a row for each word, not for each of its places
+            counted = [np.unique(p, return_counts=True) for p in spans]
+            x = np.stack([n.astype(np.float32) @ self.rows[p] for p, n in counted])
+        else:
+            x = np.stack([self.rows[p].sum(0) for p in spans])
         norm = np.maximum(np.sqrt((x * x).sum(1)), 1e-12)
         dots = x @ self.unit[mine].T
         good = (dots >= COSINE * norm[:, None]) & (dots >= self.least[mine])
@@ -187,7 +202,9 @@ class Items:
             region = words[low : int(starts[s]) + width + n // 2]
             if i in best and best[i][0] >= 1.0:
                 continue
-            hit = common(self.bits[i], n, region)
+            if (bits := self.bits[i] or long.get(i)) is None:
+                bits = long[i] = bits_of(self.words[i])
+            hit = common(bits, n, region)
             lcs = hit.bit_count() / n
             answer = (hit >> self.answer[i]).bit_count() / max(1, n - self.answer[i])
             if lcs >= LCS and answer >= ANSWER and (i not in best or lcs > best[i][0]):
