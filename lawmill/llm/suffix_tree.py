@@ -9,10 +9,13 @@ context is one or two preceding symbols. Learning and scoring are four passes:
    Kullback-Leibler divergence must pay for the description of its distribution;
 4. each document is scored with the longest retained suffix of each position's history.
 
-Frequent means a count of at least max(min_count, min_prob * N). At most 1 / min_prob symbols, pairs and triples can
-have it, so the tree has a proven bound whatever the corpus is, and only the tree is broadcast. The counts of all other
-symbols never leave the executors: they meet their documents in a join. What a context has seen of rare symbols is
-mass for its suffix, so every state's distribution sums to one over the vocabulary and one unseen symbol.
+Frequent means a count of at least min_count, whatever the size of the corpus. The counts and the tree are shared tables
+and contexts are judged by joins of these. The logarithm of a symbol's probability is written as a sum of weights of
+the n-grams that end there, so a document's score is a sum over a join of its n-grams with the weights. The heaviest part
+of the tree, with a count of at least min_prob * N, is broadcast instead: at most 1 / min_prob symbols, pairs and triples
+can have that. All else stays on the executors and meets the documents in a join; bitmaps of a fixed size tell which
+n-grams need not go there, and where they err an n-gram goes in vain. What a context has seen of rare symbols is mass for
+its suffix, so every state's distribution sums to one over the vocabulary and one unseen symbol.
 
 Nulls: a null text is empty (its end symbol is scored); a row with null doc_id is kept and trains. Empty tables give
 no rows. Repeated doc_ids are scored each on their own.
@@ -27,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm.common import fold_mod, materialize, table
+from lawmill.llm.common import fold_mod, materialize, mix, table, union_all
 
 MIN_COUNT = 16
+#: From this share of the training symbols on an n-gram is broadcast; no result depends on it.
 MIN_PROB = 5e-7
 #: What a context's suffix weighs against the context's own count.
 PRIOR = 8.0
@@ -38,7 +42,11 @@ _SIGN = 1 << 63
 END = np.int64(0x51ED270B27B4F3CF - _SIGN)
 _SHIFT = 22
 _MASK = (1 << _SHIFT) - 1
-_FLUSH = 2_000_000
+_FLUSH = 1_500_000
+#: Size of the bitmaps.
+_BITS = 25
+#: What a key of a weight or bitmap stands for.
+_CONTEXT1, _PAIR, _CONTEXT2, _TRIPLE = 1, 2, 3, 4
 _WORDS: dict[int, tuple] = {}
 
 
@@ -148,6 +156,54 @@ def triple_keys(s: np.ndarray, pair: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return before, (before << _SHIFT) | (s[1:] & _MASK), (before >= 0) & (pair >= 0)
 
 
+def join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys below 0 of the pairs of a and b."""
+    return (mix(a.view(np.uint64), b.view(np.uint64)) | np.uint64(_SIGN)).view(np.int64)
+
+
+def salted(keys: np.ndarray, kind: int) -> np.ndarray:
+    return mix(keys.view(np.uint64), np.uint64(kind)).view(np.int64)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray | None:
+    """2^_BITS bits of which those of keys(k) are set; None if there is no key."""
+    bit = F.expr("shiftleft(1L, cast(k & 63 as int))")
+    place = F.shiftright(F.col("k").bitwiseAND(F.lit((1 << _BITS) - 1)), 6)
+    got = keys.groupBy(place.cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    if not got.num_rows:
+        return None
+    out = np.zeros(1 << (_BITS - 6), np.int64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+def listed(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be among those of the bitmap."""
+    if bits is None:
+        return np.zeros(len(keys), bool)
+    at = keys & ((1 << _BITS) - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 > 0
+
+
+def pair_ids(s: np.ndarray, key: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """For each symbol but the first: key of the pair that ends there, whatever its symbols."""
+    return np.where(ok, key, join_keys(s[:-1], s[1:]))
+
+
+def preceding(x: np.ndarray, ends: np.ndarray, none) -> np.ndarray:
+    """For each place what x is at the place before it in the same text, else none."""
+    out = np.concatenate([np.full(1, none, x.dtype), x[:-1]])
+    out[ends[:-1]] = none
+    return out
+
+
+def pieces(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time: the arrays over all symbols of a piece exist several times."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, size):
+            yield batch.slice(i, size)
+
+
 def count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, tally = _codes(), Tally()
     for batch in batches:
@@ -157,96 +213,186 @@ def count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield tally.take()
 
 
+COUNTED = "k long, n long, a long, b long"
+
+
+def _rows(k, n, a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), a, b], ["k", "n", "a", "b"])
+
+
 def count_contexts(shared):
-    """Counts of pairs of frequent symbols, or, once the frequent pairs are known, of triples of these."""
+    """Counts of pairs of frequent symbols, or, once the frequent pairs are known, of triples of these.
+
+    a and b are the symbols of a pair, or the keys of both pairs of a triple, where these are not in its key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pairs = shared.value
+        known, pairs, bits = shared.value
         codes, tally = _codes(known), Tally()
-        for batch in batches:
+
+        def take() -> pa.RecordBatch:
+            k, n = tally.take().columns
+            return _rows(k, n, pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()))
+
+        for batch in pieces(batches):
             s, ends = codes.stream(batch.column(0).to_pylist())
             key, ok = pair_keys(s)
-            if pairs is not None:
-                _, key, ok = triple_keys(s, find(pairs, key, ok), ends)
+            if pairs is None:
+                a, b = s[:-1], s[1:]
+                if bits is not None:
+                    may = s >= 0
+                    may[~may] = listed(bits, s[~may])
+                    other = may[:-1] & may[1:] & ~ok
+            else:
+                pair = find(pairs, key, ok)
+                if bits is not None:
+                    b = pair_ids(s, key, ok)
+                    a = preceding(b, ends, 0)
+                    may = (pair >= 0) | listed(bits, salted(b, _PAIR))
+                    other = may & preceding(may, ends, False)
+                _, key, ok = triple_keys(s, pair, ends)
+                if bits is not None:
+                    other &= ~ok
             tally.add(key[ok])
+            if bits is not None and other.any():
+                yield _rows(join_keys(a[other], b[other]), np.ones(int(other.sum()), np.int64), pa.array(a[other]), pa.array(b[other]))
             if tally.size() > 2 * _FLUSH:
-                yield tally.take()
-        yield tally.take()
+                yield take()
+        yield take()
+
+    return run
+
+
+def placed(shared):
+    """Symbols (k, n) to (k, n) with the place of those that are broadcast for their code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            at = find(known, k, np.ones(len(k), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(at >= 0, at, k)), batch.column(1)], ["k", "n"])
 
     return run
 
 
+def unpacked(shared):
+    """Triples (k, n, a, b) to the same with both pairs' keys in a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value
+        for batch in batches:
+            k, a, b = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).copy() for c in (0, 2, 3))
+            at = np.flatnonzero(k >= 0)
+            a[at] = pairs[k[at] >> _SHIFT]
+            b[at] = ((a[at] & _MASK) << _SHIFT) | (k[at] & _MASK)
+            yield _rows(k, batch.column(1), pa.array(a), pa.array(b))
+
+    return run
+
+
+def salt_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, k, w) to (k, w) with salted keys."""
+    for batch in batches:
+        kind, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(salted(k, kind.astype(np.uint64))), batch.column(2)], ["k", "w"])
+
+
+def follow(rows: DataFrame, prior: float) -> tuple[DataFrame, DataFrame]:
+    """What follows contexts, from rows(k, n, context, n_context, below), below a symbol's log probability after the suffix.
+
+    Returns the contexts with the log weight `back` of the suffix and whether they stay, and rows with log probability p.
+    """
+    by = rows.groupBy("context").agg(
+        F.max("n_context").alias("n_context"), F.sum("n").alias("listed"), F.count(F.lit(1)).alias("kinds"),
+        F.sum(F.exp("below")).alias("p_below"), F.sum(F.col("n") * (F.log("n") - F.col("below"))).alias("gain"),
+    )
+    by = by.withColumn("total", F.greatest("n_context", "listed").cast("double")).withColumn("rest", F.col("total") - F.col("listed"))
+    p_rest = F.least(F.greatest(1 - F.col("p_below"), F.lit(1e-12)), F.lit(1.0))
+    gain = F.col("gain") - F.col("listed") * F.log("total")
+    gain += F.when(F.col("rest") > 0, F.col("rest") * (F.log(F.col("rest") / F.col("total")) - F.log(p_rest))).otherwise(0.0)
+    weight = (F.col("rest") + prior) / (F.col("total") + prior)
+    stays = gain > 0.5 * (F.col("kinds") + 1) * F.log(F.col("total") + 1)
+    by = by.select("context", "n_context", "total", F.log(weight).alias("back"), stays.alias("stays"))
+    both = rows.join(by.select("context", "total", "back", "stays"), "context")
+    p = F.log(F.col("n") / (F.col("total") + prior) + F.exp(F.col("back") + F.col("below")))
+    return by, both.withColumn("p", p).drop("total")
+
+
 class Tree:
-    """The retained contexts and what follows them.
+    """The part of the tree that is broadcast, and the bitmap of all other weights.
 
-    known, n1: sorted frequent codes and their counts; pairs, n2 and triples, n3: sorted keys and counts. A pair's key
-    holds the places of its symbols, a triple's that of its first pair and of its last symbol.
+    known, n1: sorted codes and counts of symbols; pairs: sorted keys of pairs, which hold the places of their symbols;
+    weights: (kind, k, w) of these symbols and pairs as contexts, of the pairs, and of triples, whose key holds the place
+    of the first pair and the last symbol. A symbol's log probability is its base, and the weights of its pair and triple
+    and of the contexts before it; what has no weight has 0.
     """
 
-    def __init__(self, total: int, distinct: int, known, n1, pairs, n2, triples, n3, prior: float = PRIOR):
-        self.total, self.known, self.pairs, self.triples = total, known, pairs, triples
+    def __init__(self, total: int, distinct: int, known, n1, pairs, weights, bits):
+        kind, k, w = weights
+        self.total, self.known, self.pairs, self.bits = total, known, pairs, bits
         self.space = float(np.log(total + distinct + 1))
         self.base = np.log(n1 + 1.0) - self.space
-        first, last = pairs >> _SHIFT, pairs & _MASK
-        self.p2, self.back1, self.stays1 = self._follow(first, n2, n1, self.base[last], prior)
-        head, tail = triples >> _SHIFT, triples & _MASK
-        suffix = find(pairs, (last[head] << _SHIFT) | tail, np.ones(len(head), bool))
-        self.p3, self.back2, self.stays2 = self._follow(head, n3, n2, self.p2[suffix], prior)
-        self.stays1[last[self.stays2]] = True  # the suffix of a retained context stays too
-
-    @staticmethod
-    def _follow(context, n, n_context, below, prior):
-        """Log probabilities of listed symbols, log weight of the suffix and whether it stays, for the contexts."""
-        size, n = len(n_context), n.astype(float)
-        listed = np.bincount(context, n, size)
-        kinds = np.bincount(context, minlength=size)
-        total = np.maximum(n_context.astype(float), listed)
-        rest = total - listed
-        p_rest = np.clip(1 - np.bincount(context, np.exp(below), size), 1e-12, 1)
-        gain = np.bincount(context, n * (np.log(n / total[context]) - below), size).astype(float)  # counts if there is no row
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain += np.where(rest > 0, rest * (np.log(rest / total) - np.log(p_rest)), 0)
-        stays = (kinds > 0) & (gain > 0.5 * (kinds + 1) * np.log(total + 1))
-        weight = (prior + rest) / (total + prior)
-        return np.log(n / (total[context] + prior) + weight[context] * np.exp(below)), np.log(weight), stays
-
-    def score(self, s: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logarithms for each symbol but the first: (score, base), lacking log(count + 1) of rare symbols."""
+        self.back1, self.stays1 = np.zeros(len(known)), np.zeros(len(known), bool)
+        self.back2, self.stays2, self.w2 = np.zeros(len(pairs)), np.zeros(len(pairs), bool), np.zeros(len(pairs))
+        at = k[kind == _CONTEXT1]
+        self.back1[at], self.stays1[at] = w[kind == _CONTEXT1], True
+        self.w2[pairs.searchsorted(k[kind == _PAIR])] = w[kind == _PAIR]
+        at = pairs.searchsorted(k[kind == _CONTEXT2])
+        self.back2[at], self.stays2[at] = w[kind == _CONTEXT2], True
+        order = np.argsort(k[kind == _TRIPLE])
+        self.triples, self.w3 = k[kind == _TRIPLE][order], w[kind == _TRIPLE][order]
+
+    def _places(self, s, ends):
+        key, ok = pair_keys(s)
+        pair = find(self.pairs, key, ok)
+        before, key3, ok3 = triple_keys(s, pair, ends)
+        return key, ok, pair, before, key3, ok3, find(self.triples, key3, ok3)
+
+    def score(self, s: np.ndarray, ends: np.ndarray, places=None) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logarithms for each symbol but the first: (score, base), lacking log(count + 1) of rare symbols and the weights of `others`."""
         last = s[1:]
         frequent = last >= 0
         root = np.full(len(last), -self.space)
         root[frequent] = self.base[last[frequent]]
-        key, ok = pair_keys(s)
-        pair = find(self.pairs, key, ok)
+        _, _, pair, before, _, _, triple = places or self._places(s, ends)
         out = root.copy()
-        at = np.flatnonzero(s[:-1] >= 0)
-        at = at[self.stays1[s[at]]] if len(at) else at
-        out[at] += self.back1[s[at]]
-        hit = at[pair[at] >= 0]
-        out[hit] = self.p2[pair[hit]]
-        before, key, ok = triple_keys(s, pair, ends)
-        at = np.flatnonzero(before >= 0)
-        at = at[self.stays2[before[at]]] if len(at) else at
-        out[at] += self.back2[before[at]]
-        here = np.zeros(len(last), bool)
-        here[at] = True
-        triple = find(self.triples, key, ok & here)
-        hit = np.flatnonzero(triple >= 0)
-        out[hit] = self.p3[triple[hit]]
+        for at, w, x in ((s[:-1], self.back1, s[:-1]), (pair, self.w2, pair), (before, self.back2, before), (triple, self.w3, triple)):
+            at = np.flatnonzero(at >= 0)
+            out[at] += w[x[at]]
         return out, root
 
+    def others(self, s: np.ndarray, ends: np.ndarray, places) -> tuple[np.ndarray, np.ndarray]:
+        """(place among all symbols but the first, salted key) of n-grams that may have a weight which is not broadcast."""
+        if self.bits is None:
+            return _NONE, _NONE
+        key, ok, pair, before, key3, ok3, triple = places
+        ids = pair_ids(s, key, ok)
+        inside = preceding(np.ones(len(ids), bool), ends, False)
+        first = preceding(ids, ends, 0)
+        third = np.where(ok3, key3, join_keys(first, ids))
+        spots, keys = [], []
+        for where, k, kind in ((s[:-1] < 0, s[:-1], _CONTEXT1), (pair < 0, ids, _PAIR), (inside & (before < 0), first, _CONTEXT2), (inside & (triple < 0), third, _TRIPLE)):
+            at = np.flatnonzero(where)
+            k = salted(k[at], kind)
+            hit = listed(self.bits, k)
+            spots.append(at[hit])
+            keys.append(k[hit])
+        return np.concatenate(spots), np.concatenate(keys)
+
 
 def score_texts(shared):
-    names = ["row", "score", "base", "n", "known", "rare"]
+    names = ["row", "score", "base", "n", "known", "rare", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         codes = _codes(model.known)
-        for batch in batches:
+        for batch in pieces(batches):
             s, ends = codes.stream(batch.column(1).to_pylist())
             if not len(ends):
                 continue
-            score, base = model.score(s, ends)
+            places = model._places(s, ends)
+            score, base = model.score(s, ends, places)
             starts = np.concatenate([[0], ends[:-1]])
             rare = s[1:] < 0
             size = np.concatenate([[0], np.cumsum(rare)])
@@ -254,7 +400,11 @@ def score_texts(shared):
             sums = [pa.array(np.add.reduceat(x, starts)) for x in (score, base)]
             n = ends - starts
             known = n - np.add.reduceat(rare.astype(np.int64), starts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sums, pa.array(n), pa.array(known), lists], names)
+            spots, keys = model.others(s, ends, places)
+            of = np.searchsorted(ends, spots, side="right")
+            size = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(ends)))])
+            more = pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), pa.array(keys[np.argsort(of, kind="stable")]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sums, pa.array(n), pa.array(known), lists, more], names)
 
     return run
 
@@ -267,37 +417,82 @@ def _numpy(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[order], n[order]
 
 
-def fit(texts: DataFrame, min_count: int = MIN_COUNT, min_prob: float = MIN_PROB) -> tuple[Tree, DataFrame]:
+def fit(texts: DataFrame, min_count: int = MIN_COUNT, min_prob: float = MIN_PROB, prior: float = PRIOR) -> tuple[Tree, DataFrame]:
     """The tree and the table of all symbol counts (k, n) of texts(raw)."""
-    spark = texts.sparkSession
-    counted = lambda f: texts.mapInArrow(f, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    counts = materialize(counted(count_symbols), "pst-symbols")
+    tree, counts, _ = learn(texts, min_count, min_prob, prior)
+    return tree, counts
+
+
+def learn(texts: DataFrame, min_count: int, min_prob: float, prior: float = PRIOR) -> tuple[Tree, DataFrame, DataFrame]:
+    """The part of the tree that is broadcast, the symbol counts (k, n), and the weights (k, w) of the rest of the tree."""
+    share = texts.sparkSession.sparkContext.broadcast
+    counts = materialize(texts.mapInArrow(count_symbols, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "pst-symbols")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    often = F.col("n") >= max(min_count, int(np.ceil(max(min_prob, 1 / _MASK) * total)))
-    known, n1 = _numpy(counts.where(often))  # at most 1 / min_prob rows, as are the next two
-    pairs, n2 = _numpy(counted(count_contexts(spark.sparkContext.broadcast((known, None)))).where(often))
-    triples, n3 = _numpy(counted(count_contexts(spark.sparkContext.broadcast((known, pairs)))).where(often))
-    return Tree(total, distinct, known, n1, pairs, n2, triples, n3), counts
+    floor = max(min_count, int(np.ceil(max(min_prob, 1 / _MASK) * total)))
+    often, heavy, light = F.col("n") >= min_count, F.col("n") >= floor, F.col("n") < floor
+    known, n1 = _numpy(counts.where(heavy))  # at most 1 / min_prob rows, as are the heavy pairs and triples
+    symbols = counts.where(often).mapInArrow(placed(share(known)), "k long, n long")
+
+    def counted(pairs, bits) -> DataFrame:
+        rows = texts.mapInArrow(count_contexts(share((known, pairs, bits))), COUNTED)
+        return rows.groupBy("k").agg(F.sum("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b")).where(often)
+
+    pairs = counted(None, bitmap(counts.where(often & light).select("k")))
+    a, b = F.coalesce("a", F.shiftright("k", _SHIFT)), F.coalesce("b", F.col("k").bitwiseAND(F.lit(_MASK)))
+    pairs = materialize(pairs.select("k", "n", a.alias("context"), b.alias("last")), "pst-pairs")
+    space = float(np.log(total + distinct + 1))
+    base = symbols.select(F.col("k").alias("last"), (F.log(F.col("n") + F.lit(1.0)) - space).alias("below"))
+    rows = pairs.join(symbols.select(F.col("k").alias("context"), F.col("n").alias("n_context")), "context").join(base, "last")
+    ones, twos = follow(rows, prior)
+    ones, twos = materialize(ones, "pst-ones"), materialize(twos, "pst-twos")
+
+    heavies, _ = _numpy(pairs.where(heavy))
+    salt = pairs.where(light).select(F.lit(_PAIR).cast("long").alias("kind"), "k", F.lit(0.0).alias("w")).mapInArrow(salt_keys, "k long, w double")
+    triples = counted(heavies, bitmap(salt.select("k"))).mapInArrow(unpacked(share(heavies)), COUNTED)
+    triples = materialize(triples.select("k", "n", F.col("a").alias("context"), F.col("b").alias("suffix")), "pst-triples")
+    rows = triples.join(pairs.select(F.col("k").alias("context"), F.col("n").alias("n_context")), "context")
+    contexts, threes = follow(rows.join(twos.select(F.col("k").alias("suffix"), F.col("p").alias("below")), "suffix"), prior)
+    contexts = materialize(contexts.where("stays"), "pst-contexts")
+
+    # the suffix of a retained context stays too
+    up = contexts.join(pairs.select(F.col("k").alias("context"), "last"), "context").select(F.col("last").alias("context")).distinct()
+    stay = ones.where("stays").select("context").union(up).distinct()
+    weight = lambda df, kind, k, n, w: df.select(F.lit(kind).cast("long").alias("kind"), F.col(k).alias("k"), F.col(n).alias("n"), w.alias("w"))
+    more = F.col("p") - F.col("back") - F.col("below")
+    weights = materialize(
+        union_all([
+            weight(ones.join(stay, "context"), _CONTEXT1, "context", "n_context", F.col("back")), weight(twos.join(stay, "context"), _PAIR, "k", "n", more),
+            weight(contexts, _CONTEXT2, "context", "n_context", F.col("back")), weight(threes.where("stays"), _TRIPLE, "k", "n", more),
+        ]), "pst-weights",
+    )
+    others = materialize(weights.where(light).select("kind", "k", "w").mapInArrow(salt_keys, "k long, w double"), "pst-others")
+    got = weights.where(heavy).select("kind", "k", "w").toArrow()
+    return Tree(total, distinct, known, n1, heavies, [got.column(c).to_numpy() for c in range(3)], bitmap(others.select("k"))), counts, others
 
 
 def score_documents(docs: DataFrame, held_out, min_count: int = MIN_COUNT, min_prob: float = MIN_PROB) -> DataFrame:
     """Score docs(doc_id, text), learning from the rows where held_out is false."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    tree, counts = fit(rows.where(~F.col("held_out")).select("raw"), min_count, min_prob)
+    tree, counts, others = learn(rows.where(~F.col("held_out")).select("raw"), min_count, min_prob)
     shared = spark.sparkContext.broadcast(tree)
-    kind = "row struct<doc_id: bigint, held_out: boolean, row: bigint>, score double, base double, n long, known long, rare array<long>"
+    kind = "row struct<doc_id: bigint, held_out: boolean, row: bigint>, score double, base double, n long, known long, rare array<long>, more array<long>"
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.monotonically_increasing_id().alias("row")).alias("row")
     scored = materialize(rows.select(row, "raw").mapInArrow(score_texts(shared), kind), "pst-scored")
-    rare = scored.select("row.row", F.explode("rare").alias("k"))
-    found = rare.join(counts, "k").select("row", F.log(F.col("n") + F.lit(1.0)).alias("add"))
-    by_row = found.groupBy("row").agg(F.sum("add").alias("add"), F.count("add").alias("m"))
+    rare = scored.select("row.row", F.explode("rare").alias("k")).join(counts, "k").select("row", F.log(F.col("n") + F.lit(1.0)).alias("add"))
+    by_row = rare.groupBy("row").agg(F.sum("add").alias("add"), F.count("add").alias("m")).withColumnRenamed("row", "id")
+    joined = scored.select("row", "score", "base", "n", "known").withColumn("id", F.col("row.row")).join(by_row, "id", "left")
+    if tree.bits is not None:
+        found = scored.select("row.row", F.explode("more").alias("k")).join(others, "k")
+        joined = joined.join(found.groupBy(F.col("row").alias("id")).agg(F.sum("w").alias("more")), "id", "left")
+    else:
+        joined = joined.withColumn("more", F.lit(0.0))
     ten = F.lit(float(np.log(10)))
-    joined = scored.select("row", "score", "base", "n", "known").withColumn("id", F.col("row.row")).join(by_row.withColumnRenamed("row", "id"), "id", "left")
     add = F.coalesce("add", F.lit(0.0))
+    score = F.col("score") + add + F.coalesce("more", F.lit(0.0))
     return joined.select(
         "row.doc_id", "row.held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("m", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), ((F.col("base") + add) / ten).alias("base_score"), ((F.col("score") + add) / ten).alias("score"),
+        F.lit(tree.total).cast("long").alias("train_tokens"), ((F.col("base") + add) / ten).alias("base_score"), (score / ten).alias("score"),
     )
 
 
