@@ -1,11 +1,12 @@
 """License scans by an exact set-similarity join, in DataFrame operations only.
 
-A block (a line of a text) matches a template if it contains at least `threshold` of the template's distinct words. The
-join that finds every such pair: words of templates are ordered by the number of documents they occur in, rarest first,
-over the whole corpus; a block and a template that share a (the least overlap) words must share one among the first
-|T| - a + 1 words of the template and the first |B| - a + 1 of the block's (prefix filter); blocks with fewer than a
-template words cannot match (length filter); and a first common word so late in either that less than a could follow
-is passed over (positional filter). What is left is verified.
+A block is any run of consecutive words, whatever the line ends, a quarter longer than a template (`width`); it matches
+the template if it contains at least `threshold` of the template's distinct words. The join that finds every such pair:
+words of templates are ordered by the number of documents they occur in, rarest first, over the whole corpus; a block and
+a template that share a (the least overlap) words must share one among the first |T| - a + 1 words of the template (prefix
+filter), so only the blocks around places of such words are looked at; if these together have fewer than a template words,
+none can match (length filter); and a first common word so late in either that less than a could follow is passed over
+(positional filter). What is left is verified, block by block.
 
 Templates are a fixed list, so their vocabulary, which alone is gathered and broadcast, does not grow with the data.
 Base phrases are found as consecutive words in the same normalised text.
@@ -64,6 +65,12 @@ def places(padded: Column, n_words: Column, phrase: str) -> tuple[Column, Column
     return n, first, last
 
 
+def width(text: str) -> int:
+    """Words of a block for a template."""
+    n = len(text.split())
+    return n + max(2, n // 4)
+
+
 def word_ranks(norm: DataFrame, vocabulary: list[str]) -> list[str]:
     """The vocabulary by the number of documents with each word, rarest first, ties by the word."""
     mine = F.array(*map(F.lit, vocabulary))
@@ -75,53 +82,59 @@ def word_ranks(norm: DataFrame, vocabulary: list[str]) -> list[str]:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for docs(doc_id, text)."""
     spark = docs.sparkSession
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    sets = [(label, sorted(set(text.split())), width(text)) for label, text in templates]
+    reach = max(w for _, _, w in sets) - 1
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranks = word_ranks(texts.select(normalized(F.col("text")).alias("norm")), sorted({w for _, s in sets for w in s}))
+    ranks = word_ranks(texts.select(normalized(F.col("text")).alias("norm")), sorted({w for _, s, _ in sets for w in s}))
     rank = {w: i for i, w in enumerate(ranks)}
     rows, prefix = [], set()
-    for k, (label, words) in enumerate(sets):
+    for k, (label, words, size) in enumerate(sets):
         words = sorted(words, key=rank.__getitem__)
         least = math.ceil(threshold * len(words) - 1e-9)
         for i, w in enumerate(words[: len(words) - least + 1]):
-            rows.append((rank[w], i, k, label, len(words), least, sorted(map(rank.__getitem__, words))))
+            rows.append((rank[w], i, k, label, len(words), least, size, words))
             prefix.add(w)
-    index = spark.createDataFrame(rows, "w int, i int, template int, label string, size int, least int, words array<int>")
+    index = spark.createDataFrame(rows, "w int, i int, template int, label string, size int, least int, width int, words array<string>")
     some = "|".join(sorted(map(re.escape, prefix)))
 
-    # one scan: counts and base places of every text, and the lines with a word that can begin a match
-    words = texts.select("doc_id", "text", normalized(F.col("text")).alias("norm"))
+    # one scan: counts and base places of every text, and the words around each that can begin a match
+    found = texts.select("doc_id", normalized(F.col("text")).alias("norm"))
     n_words = F.when(F.col("norm") == "", F.lit(0)).otherwise(blanks(F.col("norm")) + 1).cast("long")
-    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit(" "), normalized(x), F.lit(" ")))
-    lines = F.when(F.col("padded").rlike(f" (?:{some}) "), F.filter(lines, lambda x: x.rlike(f" (?:{some}) ")))
-    found = words.select("doc_id", "text", n_words.alias("n_words"), F.concat(F.lit(" "), "norm", F.lit(" ")).alias("padded"))
+    found = found.select("doc_id", "norm", n_words.alias("n_words"), F.concat(F.lit(" "), "norm", F.lit(" ")).alias("padded"))
+    words = F.split("norm", " ")
+    spots = F.array_compact(F.transform(words, lambda x, i: F.when(x.isin(sorted(prefix)), i)))
+    spots = F.when(F.col("padded").rlike(f" (?:{some}) "), spots)
     got = [places(F.col("padded"), F.col("n_words"), p) for p, _ in PHRASES]
     own = F.array(*(F.when(n > 0, F.lit(label)) for (n, _, _), (_, label) in zip(got, PHRASES, strict=True)))
     base = found.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", sum((n for n, _, _ in got), F.lit(0).cast("long")).alias("n_base"),
         F.least(*(f for _, f, _ in got)).alias("first_word"), F.greatest(*(x for _, _, x in got)).alias("last_word"),
-        F.array_sort(F.array_compact(own)).alias("base"), lines.alias("lines"),
+        F.array_sort(F.array_compact(own)).alias("base"), spots.alias("spots"), F.when(F.size(spots) > 0, words).alias("words"),
     )
     base = materialize(base, "license-base")
 
-    # template words of each such line as ranks, rarest first; the join runs over the first of them
+    # template words around each such place as ranks, rarest first; the join runs over the word at the place
     ranked = F.create_map(*[F.lit(x) for w in ranks for x in (w, rank[w])])
-    known = F.array_intersect(F.split(F.trim("line"), " "), F.array(*map(F.lit, ranks)))
-    blocks = base.where(F.size("lines") > 0).select("row", F.posexplode("lines").alias("block", "line"))
-    blocks = blocks.select("row", "block", F.array_sort(F.transform(known, lambda w: F.element_at(ranked, w))).alias("tokens"))
-    probes = blocks.select("row", "block", "tokens", F.posexplode("tokens").alias("j", "w"))
-    n = F.size("tokens")
+    known = F.array_intersect("near", F.array(*map(F.lit, ranks)))
+    first = F.greatest(F.col("spot") - reach, F.lit(0))
+    near = F.slice("words", first + 1, F.col("spot") - first + reach + 1)
+    blocks = base.where(F.size("spots") > 0).select("row", "words", F.explode("spots").alias("spot"))
+    blocks = blocks.select("row", (F.col("spot") - first + 1).alias("at"), near.alias("near"))
+    blocks = blocks.withColumn("tokens", F.array_sort(F.transform(known, lambda w: F.element_at(ranked, w))))
+    probes = blocks.withColumn("w", F.element_at(ranked, F.element_at("near", F.col("at"))))
+    n, j = F.size("tokens"), F.array_position("tokens", F.col("w")) - 1
+    probes = probes.select("row", "at", "near", "w", n.alias("n"), j.cast("int").alias("j"))
     pairs = probes.join(
-        F.broadcast(index),  # a row for each prefix word of each template
-        (probes["w"] == index["w"])
-        & (n >= F.col("least"))
-        & (F.col("j") <= n - F.col("least"))
-        & (F.least(F.col("size") - F.col("i"), n - F.col("j")) >= F.col("least")),
+        F.broadcast(index.withColumnRenamed("w", "v")),  # a row for each prefix word of each template
+        (F.col("w") == F.col("v")) & (F.col("n") >= F.col("least")) & (F.least(F.col("size") - F.col("i"), F.col("n") - F.col("j")) >= F.col("least")),
     )
-    share = F.size(F.array_intersect("tokens", "words")) / F.col("size")
-    matched = pairs.where(F.size(F.array_intersect("tokens", "words")) >= F.col("least"))
+    pairs = pairs.where(F.size(F.array_intersect("near", "words")) >= F.col("least"))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(1)), F.col("at"))
+    overlap = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("near", s, F.col("width")), "words"))))
+    matched = pairs.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("least"))
+    share = F.col("overlap") / F.col("size")
     labels = matched.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(share).alias("share"))  # as many labels as templates
-    both = base.drop("lines").join(labels, "row", "left")
+    both = base.drop("spots", "words").join(labels, "row", "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
     return both.select(
