@@ -27,11 +27,12 @@ from lawmill.llm.common import fold_mod, table
 BITS = 16
 ORDERS = (2, 3, 4)
 SAMPLE = 4096
-MAX_LANGUAGES = 200
 #: What a word's likelihoods are raised to: n-grams of a word overlap and are not independent.
 _HEAT = 0.5
 _STEPS = 12
 _MOST = 200_000
+#: Most values of an array over n-grams or words and languages.
+_CELLS = 40_000_000
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +82,12 @@ def count_language(group: pa.Table) -> pa.Table:
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [n-gram, language]) from docs(doc_id, text, lang), null languages left out."""
     known = docs.where(F.col("lang").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return [], np.zeros((1 << BITS, 0), np.float32)
     h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1 << 30, (sample << 30) // r["count"]))])
-    part = known.where(h < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0))).select("lang", F.col("text").cast("string"))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, (sample << 30) // r["count"])) for r in sizes], "lang string, share long")
+    part = known.join(F.broadcast(share), "lang").where(h < F.col("share")).select("lang", F.col("text").cast("string"))
     rows = part.groupBy("lang").applyInArrow(count_language, "lang string, counts binary").collect()
     rows = sorted((r for r in rows), key=lambda r: r["lang"])
     counts = np.stack([np.frombuffer(r["counts"], "<f4") for r in rows], 1) + 0.05
@@ -98,7 +99,7 @@ class Words(dict):
 
     def __init__(self, logp: np.ndarray, most: int = _MOST):
         super().__init__()
-        self.logp, self.most = logp, most
+        self.logp, self.most = logp, min(most, _CELLS // max(1, logp.shape[1]))
         self.rows = np.zeros((0, logp.shape[1]), np.float32)
 
     def learn(self, words: set[str]) -> None:
@@ -110,9 +111,13 @@ class Words(dict):
             return
         g, owner = grams(new)
         starts = np.searchsorted(owner, np.arange(len(new)))
-        ll = np.add.reduceat(self.logp[g], starts, axis=0) * _HEAT
+        step = max(1, _CELLS // max(1, self.logp.shape[1] * -(-len(g) // len(new))))
+        parts = [self.rows]
+        for i in range(0, len(new), step):
+            part = g[starts[i] : starts[i + step] if i + step < len(new) else len(g)]
+            parts.append(np.add.reduceat(self.logp[part], starts[i : i + step] - starts[i], axis=0) * _HEAT)
         self.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-        self.rows = np.concatenate([self.rows, ll])
+        self.rows = np.concatenate(parts)
 
 
 def mixture(ll: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -149,13 +154,13 @@ def mixture(ll: np.ndarray, n: np.ndarray) -> np.ndarray:
 _GROUP = 2_000_000
 
 
-def groups(texts: list[str | None]) -> Iterator[list[list[str]]]:
+def groups(texts: list[str | None], most: int = _GROUP) -> Iterator[list[list[str]]]:
     """The words of the texts, some at a time, so that new words are learned together."""
     group, size = [], 0
     for text in texts:
         group.append(letters(text))
         size += len(text or "")
-        if size > _GROUP:
+        if size > most:
             yield group
             group, size = [], 0
     yield group
@@ -167,7 +172,7 @@ def predict_texts(model):
         known = Words(logp)
         for batch in batches:
             pred, score, sets = [], [], []
-            for group in groups(batch.column(batch.num_columns - 1).to_pylist()):
+            for group in groups(batch.column(batch.num_columns - 1).to_pylist(), min(_GROUP, 5 * _CELLS // max(1, len(langs)))):
                 if langs:
                     known.learn(set().union(*group))
                 for words in group:
