@@ -16,6 +16,7 @@ the written files: one row a record with its shard, offset and length, which is
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,11 +30,16 @@ from pyspark.sql.window import Window
 from lawmill.llm.common import fresh_path, table
 
 END_ID = 2
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 INDEX = "doc_id long, shard int, offset long, length long, before long, n_tokens long, ids_crc32 long"
 _HEAD = struct.Struct("<qBB")
 _CACHE: dict[str, tuple] = {}
-_MOST_WORDS = 600_000
+#: Pieces kept in each of two generations (about 200 bytes each), and the longest that is kept.
+_MOST_PIECES, _LONGEST = 150_000, 64
+#: What stands for a blank in a byte-level vocabulary.
+_BLANK = chr(256 + 32)
+#: Characters of a text that are cut into pieces at once, and rows and bytes of a batch.
+_PART, _ROWS, _BATCH = 1_000_000, 200, 2_000_000
 
 
 def masked(crc: int) -> int:
@@ -46,7 +52,7 @@ def frame(payload: bytes) -> bytes:
     return b"".join((size, struct.pack("<I", masked(zlib.crc32(size))), payload, struct.pack("<I", masked(zlib.crc32(payload)))))
 
 
-def unframe(data: bytes) -> Iterator[tuple[int, int, memoryview]]:
+def unframe(data: bytes | memoryview) -> Iterator[tuple[int, int, memoryview]]:
     """(offset, length of the whole record, payload) of each record; a damaged file raises ValueError."""
     view, at = memoryview(data), 0
     while at < len(data):
@@ -73,64 +79,94 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(payload, f"<u{wide}", offset=_HEAD.size)
 
 
+class Kept(dict):
+    """piece -> its ids as bytes, made where they lack; two generations of at most `most` pieces each, so what is seldom met goes."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= _LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """The ids of whole texts.
-
-    The tokenizer's pattern always cuts between a character that is no white space and a following blank or line end,
-    and between a letter and a following stop or comma; so a text may be cut there and each piece encoded alone. Pieces
-    repeat, so each is encoded once and kept; dropping all kept pieces at `most` bounds the memory. Texts in which
-    white space or marks follow each other are cut with care, before blanks only. Most pieces are a single run of the pattern and go
-    to the vocabulary's merges directly; others take the whole tokenizer. Strings of special tokens in a text are
-    ordinary text.
+    """The ids of whole texts, as the library gives them without its own start and end tokens.
+
+    The tokenizer's pattern always cuts after a letter or digit that a full stop, comma or line end follows, and between
+    a character that is no white space and a following blank; so a text may be cut there and each piece encoded alone.
+    Pieces repeat, so their ids are kept, as many as memory is given for. Texts in which white space or marks follow
+    each other, or with letters of scripts that younger Unicode versions add to, are cut before blanks only. A piece that
+    is a single run of the pattern goes to the library's merges directly, one of several runs is cut into these; with
+    letters of such scripts it goes to the whole tokenizer, and so does a whole text with the string of an added token.
     """
 
-    def __init__(self, path: str, most: int = _MOST_WORDS):
+    def __init__(self, path: str, most: int = _MOST_PIECES):
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
-        self.most = most
-        self.odd = regex.compile(r"\s[ \n]|[^\p{L}\s][.,]|\s[.,]|^[.,]|\0")
-        self.cut = regex.compile(r"(?<=\S)(?= )")
-        self.run = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s").fullmatch
+        self.merge = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kept = Kept(self.ids, most)
+        self.double = re.compile(r"\s\s").search
+        self.mark = regex.compile(r"(?<![\p{L}\p{N}])[.,]").search
+        self.young = re.compile(r"[^\0-\u052F]").search
+        self.blank = re.compile(r"(?<=\S)(?= )")
+        self.runs = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         # the printable stand-ins of bytes in a byte-level vocabulary
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(other)}
 
+    def ids(self, piece: str) -> bytes:
+        if piece.isascii():
+            if piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():
+                return self.merged(piece.replace(" ", _BLANK))
+        elif self.young(piece):
+            ids = self.whole(piece)
+            return struct.pack(f"<{len(ids)}I", *ids)
+        runs = self.runs(piece)
+        if len(runs) == 1:
+            return self.merged(piece.encode().decode("latin1").translate(self.letters))
+        return b"".join(map(self.kept.__getitem__, runs))
+
+    def merged(self, letters: str) -> bytes:
+        ids = [x.id for x in self.merge(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
+
     def pieces(self, text: str) -> list[str]:
-        if self.odd.search(text):
-            return self.cut.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").replace(".", "\0.").replace(",", "\0,").split("\0")
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Texts go in groups, so that the pieces of a group fit beside the kept ones."""
-        group, size = [], 0
-        for text in texts:
-            group.append(self.pieces(text) if text else [])
-            size += len(text or "")
-            if size > 4_000_000:
-                yield from self.group(group)
-                group, size = [], 0
-        yield from self.group(group)
-
-    def group(self, group: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self.kept) > self.most:
-            self.kept.clear()
-        hard, merge = [], self.tokenizer.model.tokenize
-        for piece in set().union(*group).difference(self.kept):
-            if self.run(piece):
-                ids = [x.id for x in merge(piece.encode().decode("latin1").translate(self.letters))]
-                self.kept[piece] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                hard.append(piece)
-        for piece, code in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
-            self.kept[piece] = struct.pack(f"<{len(code.ids)}I", *code.ids)
-        for pieces in group:
-            yield np.frombuffer(b"".join(map(self.kept.__getitem__, pieces)), "<u4")
+        if (not text.isascii() and self.young(text)) or "\0" in text or self.double(text) or self.mark(text):
+            return self.blank.split(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,").split("\0")
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A very long text in parts that end before a blank."""
+        at = 0
+        while len(text) - at > _PART and (cut := self.blank.search(text, at + _PART)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:] if at else text
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.uint32)
+        if any(token in text for token in self.added):
+            return np.array(self.whole(text), np.uint32)
+        found = [b"".join(map(self.kept.__getitem__, self.pieces(part))) for part in self.parts(text)]
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def _encoder(path: str) -> Encoder:
@@ -143,16 +179,17 @@ def _encoder(path: str) -> Encoder:
 def encode_frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
-        for batch in batches:
-            frames, size = [], 0
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                frames.append(frame(pack(doc_id, np.append(ids, np.uint32(end_id)))))
-                size += len(frames[-1])
-                if size > 8_000_000:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch, frames, size = whole.slice(at, _ROWS), [], 0
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    frames.append(frame(pack(doc_id, np.append(encode(text.as_py()), np.uint32(end_id)))))
+                    size += len(frames[-1])
+                    if size > _BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+                        frames, size = [], 0
+                if frames:
                     yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
-                    frames, size = [], 0
-            if frames:
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     return run
 
@@ -163,7 +200,7 @@ def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            shard, content = batch.column(0)[i].as_py(), memoryview(batch.column(1)[i].as_buffer())
             rows, before = [], 0
             for offset, length, payload in unframe(content):
                 doc_id, ids = unpack(payload)
@@ -183,13 +220,13 @@ def write_token_bins(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
     """Encode docs(doc_id, text), write shards and index under path, return the index.
 
     Null and empty texts give the end id alone; a null doc_id sorts first; rows that share a doc_id are kept, ordered
-    by a hash of their text, which also lets the range partitioning split them; other columns are not read. An empty
-    table gives no shards and an empty index. The only shuffle is the range partitioning by doc_id.
+    by a hash of their text, which also lets the range partitioning split them; other columns are not read, whatever
+    their names. An empty table gives no shards and an empty index. The only shuffle is the range partitioning by doc_id;
+    the number of shards follows the bytes of all texts, which one aggregate counts first.
     """
     spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # Spark says "huge" where it does not know; then the session decides
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // shard_bytes if size < 1 << 60 else 1)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # ids take no more than their text
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
     dealt = keyed.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     framed = dealt.select("doc_id", "text").mapInArrow(encode_frames(tokenizer, end_id), "frame binary")

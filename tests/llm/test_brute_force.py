@@ -38,7 +38,6 @@ def test_token_bins(spark, texts, docs, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     index = token_bins.write_token_bins(docs, f"{tmp_path}/bins", path)
     got, start, all_ids = by_id(token_bins.digest(index)), 0, {}
     for i, text, *_ in texts:
