@@ -12,8 +12,7 @@ context is one or two preceding symbols. Learning and scoring are four passes:
 Frequent means a count of at least min_count, whatever the size of the corpus. The counts and the tree are shared tables
 and contexts are judged by joins of these. The logarithm of a symbol's probability is written as a sum of weights of
 the n-grams that end there, so a document's score is a sum over a join of its n-grams with the weights. The heaviest part
-of the tree, with a count of at least min_prob * N, is broadcast instead: at most 1 / min_prob symbols, pairs and triples
-can have that. All else stays on the executors and meets the documents in a join; bitmaps of a fixed size tell which
+of the tree is broadcast instead: at most `most` symbols, pairs and triples each, by counts that are checked first. All else stays on the executors and meets the documents in a join; bitmaps of a fixed size tell which
 n-grams need not go there, and where they err an n-gram goes in vain. What a context has seen of rare symbols is mass for
 its suffix, so every state's distribution sums to one over the vocabulary and one unseen symbol.
 
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 from lawmill.llm.common import fold_mod, materialize, mix, table, union_all
 
 MIN_COUNT = 16
-#: From this share of the training symbols on an n-gram is broadcast; no result depends on it.
-MIN_PROB = 5e-7
+#: Most symbols, pairs and triples each that are broadcast, the most frequent ones; no result depends on it.
+MOST = 1 << 20
 #: What a context's suffix weighs against the context's own count.
 PRIOR = 8.0
 #: A symbol is the 63-bit hash of its word with the sign bit set, or its place among the frequent ones.
@@ -42,7 +41,7 @@ _SIGN = 1 << 63
 END = np.int64(0x51ED270B27B4F3CF - _SIGN)
 _SHIFT = 22
 _MASK = (1 << _SHIFT) - 1
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 #: Size of the bitmaps.
 _BITS = 25
 #: What a key of a weight or bitmap stands for.
@@ -132,15 +131,41 @@ class Tally:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["k", "n"])
 
 
-def find(keys: np.ndarray, x: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """The place of each x in the sorted keys where `where` holds and it is there, else -1."""
-    out = np.full(len(x), -1, np.int64)
-    at = np.flatnonzero(where)
-    if len(keys) and len(at):
-        y = x[at]
-        i = np.minimum(keys.searchsorted(y), len(keys) - 1)
-        out[at] = np.where(keys[i] == y, i, -1)
-    return out
+class Finder:
+    """Places of distinct keys in an open-addressing table: a lookup touches a few places, where a binary search takes twenty."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, 63 - max(2, int(len(keys)).bit_length())
+        self.table = np.full(1 << (64 - self.shift), -1, np.int32)
+        rest, at = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        while len(rest):
+            free = self.table[at] < 0
+            self.table[at[free]] = rest[free]
+            again = self.table[at] != rest
+            rest, at = rest[again], (at[again] + 1) & (len(self.table) - 1)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def _slots(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            return (((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(self.shift)).view(np.int64)
+
+    def __call__(self, x: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """The place of each x among the keys where `where` holds and it is there, else -1."""
+        out = np.full(len(x), -1, np.int64)
+        if len(self.keys):
+            left = np.flatnonzero(where)
+            y = x[left]
+            at = self._slots(y)
+            while len(left):
+                place = self.table[at]
+                same = (place >= 0) & (self.keys[place] == y)
+                out[left[same]] = place[same]
+                go = np.flatnonzero((place >= 0) & ~same)
+                left, y, at = left[go], y[go], (at[go] + 1) & (len(self.table) - 1)
+        return out
 
 
 def pair_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +222,7 @@ def preceding(x: np.ndarray, ends: np.ndarray, none) -> np.ndarray:
     return out
 
 
-def pieces(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
     """Fewer rows at a time: the arrays over all symbols of a piece exist several times."""
     for batch in batches:
         for i in range(0, batch.num_rows, size):
@@ -206,7 +231,7 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.R
 
 def count_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, tally = _codes(), Tally()
-    for batch in batches:
+    for batch in pieces(batches):
         tally.add(codes.stream(batch.column(0).to_pylist())[0][1:])
         if tally.size() > 2 * _FLUSH:
             yield tally.take()
@@ -244,7 +269,7 @@ def count_contexts(shared):
                     may[~may] = listed(bits, s[~may])
                     other = may[:-1] & may[1:] & ~ok
             else:
-                pair = find(pairs, key, ok)
+                pair = pairs(key, ok)
                 if bits is not None:
                     b = pair_ids(s, key, ok)
                     a = preceding(b, ends, 0)
@@ -270,7 +295,7 @@ def placed(shared):
         known = shared.value
         for batch in batches:
             k = batch.column(0).to_numpy()
-            at = find(known, k, np.ones(len(k), bool))
+            at = known(k, np.ones(len(k), bool))
             yield pa.RecordBatch.from_arrays([pa.array(np.where(at >= 0, at, k)), batch.column(1)], ["k", "n"])
 
     return run
@@ -342,12 +367,13 @@ class Tree:
         self.back2[at], self.stays2[at] = w[kind == _CONTEXT2], True
         order = np.argsort(k[kind == _TRIPLE])
         self.triples, self.w3 = k[kind == _TRIPLE][order], w[kind == _TRIPLE][order]
+        self.find2, self.find3 = Finder(pairs), Finder(self.triples)
 
     def _places(self, s, ends):
         key, ok = pair_keys(s)
-        pair = find(self.pairs, key, ok)
+        pair = self.find2(key, ok)
         before, key3, ok3 = triple_keys(s, pair, ends)
-        return key, ok, pair, before, key3, ok3, find(self.triples, key3, ok3)
+        return key, ok, pair, before, key3, ok3, self.find3(key3, ok3)
 
     def score(self, s: np.ndarray, ends: np.ndarray, places=None) -> tuple[np.ndarray, np.ndarray]:
         """Natural logarithms for each symbol but the first: (score, base), lacking log(count + 1) of rare symbols and the weights of `others`."""
@@ -409,6 +435,18 @@ def score_texts(shared):
     return run
 
 
+def floor_of(counts: DataFrame, least: int, most: int) -> int:
+    """The smallest of least, 2 * least, 4 * least ... such that at most `most` rows of counts(n) reach it."""
+    step = F.floor(F.log2(F.col("n") / F.lit(float(least))) + 1e-9).cast("int")
+    rows = counts.where(F.col("n") >= least).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()  # one row a power of two
+    found, total = {r["step"]: r["rows"] for r in rows}, 0
+    for k in sorted(found, reverse=True):
+        total += found[k]
+        if total > most:
+            return least << (k + 1)
+    return least
+
+
 def _numpy(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and counts of a table that has a proven bound."""
     got = df.toArrow()
@@ -417,27 +455,26 @@ def _numpy(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[order], n[order]
 
 
-def fit(texts: DataFrame, min_count: int = MIN_COUNT, min_prob: float = MIN_PROB, prior: float = PRIOR) -> tuple[Tree, DataFrame]:
+def fit(texts: DataFrame, min_count: int = MIN_COUNT, most: int = MOST, prior: float = PRIOR) -> tuple[Tree, DataFrame]:
     """The tree and the table of all symbol counts (k, n) of texts(raw)."""
-    tree, counts, _ = learn(texts, min_count, min_prob, prior)
+    tree, counts, _ = learn(texts, min_count, most, prior)
     return tree, counts
 
 
-def learn(texts: DataFrame, min_count: int, min_prob: float, prior: float = PRIOR) -> tuple[Tree, DataFrame, DataFrame]:
+def learn(texts: DataFrame, min_count: int, most: int, prior: float = PRIOR) -> tuple[Tree, DataFrame, DataFrame]:
     """The part of the tree that is broadcast, the symbol counts (k, n), and the weights (k, w) of the rest of the tree."""
     share = texts.sparkSession.sparkContext.broadcast
     counts = materialize(texts.mapInArrow(count_symbols, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "pst-symbols")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    floor = max(min_count, int(np.ceil(max(min_prob, 1 / _MASK) * total)))
-    often, heavy, light = F.col("n") >= min_count, F.col("n") >= floor, F.col("n") < floor
-    known, n1 = _numpy(counts.where(heavy))  # at most 1 / min_prob rows, as are the heavy pairs and triples
-    symbols = counts.where(often).mapInArrow(placed(share(known)), "k long, n long")
+    often, f1 = F.col("n") >= min_count, floor_of(counts, min_count, min(most, _MASK))
+    known, n1 = _numpy(counts.where(F.col("n") >= f1))
+    symbols = counts.where(often).mapInArrow(placed(share(Finder(known))), "k long, n long")
 
     def counted(pairs, bits) -> DataFrame:
         rows = texts.mapInArrow(count_contexts(share((known, pairs, bits))), COUNTED)
         return rows.groupBy("k").agg(F.sum("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b")).where(often)
 
-    pairs = counted(None, bitmap(counts.where(often & light).select("k")))
+    pairs = counted(None, bitmap(counts.where(often & (F.col("n") < f1)).select("k")))
     a, b = F.coalesce("a", F.shiftright("k", _SHIFT)), F.coalesce("b", F.col("k").bitwiseAND(F.lit(_MASK)))
     pairs = materialize(pairs.select("k", "n", a.alias("context"), b.alias("last")), "pst-pairs")
     space = float(np.log(total + distinct + 1))
@@ -446,9 +483,10 @@ def learn(texts: DataFrame, min_count: int, min_prob: float, prior: float = PRIO
     ones, twos = follow(rows, prior)
     ones, twos = materialize(ones, "pst-ones"), materialize(twos, "pst-twos")
 
-    heavies, _ = _numpy(pairs.where(heavy))
-    salt = pairs.where(light).select(F.lit(_PAIR).cast("long").alias("kind"), "k", F.lit(0.0).alias("w")).mapInArrow(salt_keys, "k long, w double")
-    triples = counted(heavies, bitmap(salt.select("k"))).mapInArrow(unpacked(share(heavies)), COUNTED)
+    f2 = floor_of(pairs, f1, min(most, _MASK))
+    heavies, _ = _numpy(pairs.where(F.col("n") >= f2))
+    salt = pairs.where(F.col("n") < f2).select(F.lit(_PAIR).cast("long").alias("kind"), "k", F.lit(0.0).alias("w")).mapInArrow(salt_keys, "k long, w double")
+    triples = counted(Finder(heavies), bitmap(salt.select("k"))).mapInArrow(unpacked(share(heavies)), COUNTED)
     triples = materialize(triples.select("k", "n", F.col("a").alias("context"), F.col("b").alias("suffix")), "pst-triples")
     rows = triples.join(pairs.select(F.col("k").alias("context"), F.col("n").alias("n_context")), "context")
     contexts, threes = follow(rows.join(twos.select(F.col("k").alias("suffix"), F.col("p").alias("below")), "suffix"), prior)
@@ -465,16 +503,18 @@ def learn(texts: DataFrame, min_count: int, min_prob: float, prior: float = PRIO
             weight(contexts, _CONTEXT2, "context", "n_context", F.col("back")), weight(threes.where("stays"), _TRIPLE, "k", "n", more),
         ]), "pst-weights",
     )
-    others = materialize(weights.where(light).select("kind", "k", "w").mapInArrow(salt_keys, "k long, w double"), "pst-others")
+    f3 = floor_of(triples, f2, most)
+    heavy = F.col("n") >= F.when(F.col("kind") == _CONTEXT1, f1).when(F.col("kind") == _TRIPLE, f3).otherwise(f2)
+    others = materialize(weights.where(~heavy).select("kind", "k", "w").mapInArrow(salt_keys, "k long, w double"), "pst-others")
     got = weights.where(heavy).select("kind", "k", "w").toArrow()
     return Tree(total, distinct, known, n1, heavies, [got.column(c).to_numpy() for c in range(3)], bitmap(others.select("k"))), counts, others
 
 
-def score_documents(docs: DataFrame, held_out, min_count: int = MIN_COUNT, min_prob: float = MIN_PROB) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, min_count: int = MIN_COUNT, most: int = MOST) -> DataFrame:
     """Score docs(doc_id, text), learning from the rows where held_out is false."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    tree, counts, others = learn(rows.where(~F.col("held_out")).select("raw"), min_count, min_prob)
+    tree, counts, others = learn(rows.where(~F.col("held_out")).select("raw"), min_count, most)
     shared = spark.sparkContext.broadcast(tree)
     kind = "row struct<doc_id: bigint, held_out: boolean, row: bigint>, score double, base double, n long, known long, rare array<long>, more array<long>"
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.monotonically_increasing_id().alias("row")).alias("row")
