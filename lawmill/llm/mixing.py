@@ -4,13 +4,15 @@ Targets: the sources in code point order (null last) weigh 5, 2, 1, repeating, a
 exceeds twice its source's size, and the excess is shared again by weight until none does.
 
 Taking: documents are counted by exact length, source and one of 256 seeded slots. A source whose target reaches its
-size takes each document once and then fits the rest as second copies. The rest is fitted in two steps: whole quotas run through
-the lengths so that the words taken follow the target up to less than the longest document, and what remains is filled
-by dynamic programming over the counts of the documents left (a bounded knapsack whose reachable sums are the bits of
-one integer), then exchanged for the closest reachable sum. Which documents of a length are taken is decided by seeded hash:
-whole slots first, then the lowest hashes of one slot, so no group of equal lengths is ever ranked in one task.
+size takes each document once and then fits the rest as second copies. The rest is fitted in two steps, whatever the
+source's size: quotas run through the lengths from the longest, so that of each length its share is taken; what then is missing, with four
+documents each of the shortest lengths given back, is filled by dynamic programming over the counts of documents (a
+bounded knapsack whose reachable sums are the bits of one integer), at most four more of a length than its quota. Which
+documents of a length are taken is decided by seeded hash: whole slots first, then the lowest hashes of one slot, so no
+group of equal lengths is ever ranked in one task.
 
 What is gathered for a source is its histogram of lengths, whose size follows the longest document, not their number.
+The targets come from sums over the sources, a table of its own; sources are not gathered.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ MOST = 2
 SEED = 20240
 SLOTS = 256
 WORD = r"[^\x20\x09-\x0D]+"
-#: The knapsack fills at most this many words at once and so bounds its bit rows.
-_SPAN = 1 << 17
+#: The knapsack exchanges documents of so many of the shortest lengths, of so many words together, which bounds its bit rows.
+_LENGTHS, _SPAN = 64, 1 << 19
+#: Documents of such a length that are given back at most, and that are taken above its quota.
+_TRADE = 4
 
 
 def targets(sizes: list[tuple[str | None, int]], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -86,30 +90,63 @@ def quotas(target: float, lengths: np.ndarray, counts: np.ndarray, seed: int = S
     rest = round(target - whole * size)
     if whole == MOST or rest <= 0 or not size:
         return whole, take
-    # all but _SPAN / 2 words by quota: each length in proportion, what it owes passing on to the next shorter one
-    part, owed = max(0, rest - _SPAN // 2) / size, 0.0
+    # each length in proportion, what it owes passing on to the next shorter one
+    part, owed = rest / size, 0.0
     down = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i]]
     for i in down:
         owed += part * int(lengths[i]) * int(counts[i])
-        take[i] = min(int(counts[i]), int(owed // int(lengths[i])))
+        take[i] = min(int(counts[i]), int(owed // int(lengths[i]) + 1e-9))
         owed -= int(take[i]) * int(lengths[i])
-    budget = rest - int((take * lengths).sum())
-    for i in down:  # documents too long for the knapsack
-        if budget > _SPAN:
-            k = min(int(counts[i] - take[i]), (budget - _SPAN // 2) // int(lengths[i]))
-            take[i] += k
-            budget -= k * int(lengths[i])
-    usable = np.random.default_rng(seed).permutation([i for i in down if lengths[i] <= budget and counts[i] > take[i]]).astype(int)
-    more = fill(min(budget, _SPAN), [int(lengths[i]) for i in usable], [int(counts[i] - take[i]) for i in usable])
-    for i, k in zip(usable, more, strict=True):
+    # the knapsack gets what is missing, and some documents of each of the shortest lengths back to exchange
+    room = [i for i, n in zip(down[::-1], np.cumsum(lengths[down[::-1]]), strict=True) if n <= _SPAN][:_LENGTHS]
+    take[room] -= (back := np.minimum(take[room], _TRADE))
+    budget = min(rest - int((take * lengths).sum()), 8 * _SPAN)
+    usable = np.random.default_rng(seed).permutation([i for i in room if lengths[i] <= budget and counts[i] > take[i]]).astype(int)
+    spare = dict(zip(room, (back + _TRADE).tolist(), strict=True))
+    for i, k in zip(usable, fill(budget, [int(lengths[i]) for i in usable], [min(spare[i], int(counts[i] - take[i])) for i in usable]), strict=True):
         take[i] += k
     short = rest - int((take * lengths).sum())
+    for i in down:  # where short documents have run out
+        k = min(int(counts[i] - take[i]), max(0, short) // int(lengths[i]))
+        take[i] += k
+        short -= k * int(lengths[i])
     left = [i for i in down if counts[i] > take[i]]
     if left and lengths[left[-1]] < 2 * short:
         take[left[-1]] += 1  # one more goes over by less than what is missing
     return whole, take
 
 
+def source_targets(sources: DataFrame, share: float, most: float = MOST) -> DataFrame:
+    """sources(source, source_size) with target: what `targets` gives, by one pass of sums for each round of capping."""
+    order = F.col("source").asc_nulls_last()
+    dealt = sources.repartitionByRange(order).sortWithinPartitions(order)
+    row = F.monotonically_increasing_id()
+    placed = materialize(dealt.withColumn("part", F.shiftright(row, 33)).withColumn("at", row.bitwiseAND(F.lit((1 << 33) - 1))), "mix-sources")
+    before, first = 0, {}
+    for r in placed.groupBy("part").count().orderBy("part").collect():  # one row a partition
+        first[r["part"]] = before % len(WEIGHTS)
+        before += r["count"]
+    start = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("part")) if first else F.lit(0)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("at") + start, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    weighed = materialize(placed.select("source", "source_size", weight.alias("weight")), "mix-weights")
+    cap, free, bound, unit = most * F.col("source_size"), F.lit(True), [], 0.0
+    total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    left = share * total
+    while True:
+        n = weighed.where(free).agg(F.sum("weight")).first()[0]
+        if not n:
+            break
+        unit = left / n
+        over = free & (F.lit(unit) * F.col("weight") > cap)
+        capped = weighed.where(over).agg(F.sum("source_size")).first()[0]
+        if capped is None:
+            break
+        left -= most * capped
+        bound.append(unit)
+        free = F.lit(max(bound)) * F.col("weight") <= cap  # a source once capped stays so: units only rise
+    return weighed.select("source", "source_size", F.when(free, F.lit(unit) * F.col("weight")).otherwise(cap).cast("double").alias("target"))
+
+
 def plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     """The histogram of one source (source, target, size, n) to what is taken of each length."""
     pdf = pdf.sort_values("size")
@@ -131,11 +168,7 @@ def choose(docs: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFra
     by_size = slots.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sources = by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
 
-    def aim(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [None if pd.isna(x) else x for x in pdf["source"]]
-        return pdf.assign(target=targets(list(zip(names, pdf["source_size"].astype(int).tolist(), strict=True)), share))[["source", "source_size", "target"]]
-
-    aims = materialize(sources.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(aim, "source string, source_size long, target double"), "mix-aims")
+    aims = materialize(source_targets(sources, share), "mix-aims")
     same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
     plans = by_size.join(aims, same(by_size, aims, "source")).select(by_size["source"], "target", "size", "n")
     plan = materialize(plans.groupBy("source").applyInPandas(plan_source, "source string, size long, whole int, more long"), "mix-plan")

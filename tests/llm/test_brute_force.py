@@ -207,14 +207,20 @@ def test_components(spark):
 
 
 def test_mixing(spark, docs):
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
     rows = mixing.mix_sources(docs).collect()
     again = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs.repartition(7)).collect()}
     assert {r["doc_id"]: r["taken"] for r in rows} == again
-    taken = collections.Counter()
+    taken, aim = collections.Counter(), {}
     for r in rows:
+        aim[source[r["doc_id"]]] = r["target"]
         assert r["taken"] <= 2 * r["size"] and r["size"] == len(docs.where(f"doc_id = {r['doc_id']}").first()["text"].split()) if r["doc_id"] < 5 else True
-        taken[r["target"]] += r["taken"]
-    assert all(abs(t - n) <= 2 for t, n in taken.items())
+        taken[source[r["doc_id"]]] += r["taken"]
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[source[r["doc_id"]]] += r["size"]
+    assert [aim[s] for s in sizes] == pytest.approx(mixing.targets(list(sizes.items())))
+    assert all(abs(aim[s] - n) <= 2 for s, n in taken.items())
 
 
 def test_targets():
@@ -223,6 +229,24 @@ def test_targets():
     assert mixing.targets([("a", 0)]) == [0]
 
 
+def test_targets_of_a_table(spark):
+    sizes = [(f"s{i}", 1 + (i * 7919) % 1000) for i in range(40)] + [(None, 10_000), ("é", 0), ("z", 30_000)]
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(5), 1.5).collect()}
+    assert [got[s] for s, _ in sizes] == mixing.targets(sizes)
+
+
+@pytest.mark.parametrize("n", [30, 3000])
+def test_every_length_gives_its_share(n):
+    lengths = np.arange(1, n)
+    counts = np.random.default_rng(n).integers(1, 9, n - 1)
+    size = int((lengths * counts).sum())
+    for part in (0.1, 0.45, 0.9):
+        whole, take = mixing.quotas(part * size, lengths, counts)
+        assert whole == 0 and abs((take * lengths).sum() - part * size) <= 1
+        assert (np.abs(take - part * counts) <= 6).all()
+        assert (take <= counts).all() and (take >= 0).all()
+
+
 @pytest.mark.parametrize("budget", [0, 1, 7, 23, 50])
 def test_fill_is_best(budget):
     lengths, counts = [3, 5, 8], [2, 3, 2]
