@@ -5,7 +5,9 @@ Fingerprints are compared exactly, tile against tile, with numpy's exclusive-or
 cut of the 64 bits. So a fingerprint's tile is the four population counts of its 16-bit quarters, and a pair of tiles
 is skipped when these differ by more than the radius in sum; nothing else is left out. There are at most 17^4 tiles, and
 each is sent to those within the radius only (half of them, the relation being symmetric), which bounds what moves by a
-constant for each fingerprint.
+constant for each fingerprint. The fingerprints of all tiles are counted first: a tile of many is cut into blocks of its
+own and of its visitors' fingerprints by hash, and each pair of blocks is a task's work of its own, so that no task
+compares more than about `_LARGE` times `_LARGE` fingerprints, however full the tiles in the middle are.
 
 Only distinct fingerprints are compared, each with the smallest doc_id that has it. A tile returns the edges of a spanning
 forest of its links, not the links, so a large group of near copies gives no more rows than it has members.
@@ -31,6 +33,8 @@ SEED = 42
 _BLOCK = 1024
 #: Fingerprints in one row of a tile: a tile of many is several such rows.
 _PACK = 4096
+#: Fingerprints in a block of a tile, its own or its visitors'.
+_LARGE = 1 << 17
 
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -79,28 +83,63 @@ def tile_of(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(quarters).astype(np.int64)
 
 
-def spread(radius: int):
-    """(fp) to rows (tile, own, packed fingerprints): each tile's fingerprints for itself and for the tiles within the radius."""
+_PLACES = np.array([17**3, 17**2, 17, 1])
+
+
+def blocks_of(counts: np.ndarray, radius: int, large: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many blocks the own fingerprints of each tile and its visitors are cut into; counts: fingerprints by tile."""
+    own, visitors = counts.reshape((17,) * 4), np.zeros((17,) * 4, np.int64)
+    for step in _near(radius):
+        to = tuple(slice(max(0, s), 17 + min(0, s)) for s in step)
+        at = tuple(slice(max(0, -s), 17 + min(0, -s)) for s in step)
+        visitors[to] += own[at]
+    return np.maximum(1, -(-counts // large)), np.maximum(1, -(-visitors.reshape(-1) // large))
+
+
+def tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp) to (tile, n) of the task."""
+    n = np.zeros(17**4, np.int64)
+    for batch in batches:
+        n += np.bincount(tile_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) @ _PLACES, minlength=17**4)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["tile", "n"])
+
+
+def spread(radius: int, shared):
+    """(fp) to rows (tile, block, own, packed fingerprints): each tile's fingerprints for itself and for the tiles within the radius."""
     steps = _near(radius)
 
+    def packs(fp: np.ndarray, blocks: int, turn: int) -> Iterator[tuple[int, bytes]]:
+        """Each block's fingerprints, in packs."""
+        with np.errstate(over="ignore"):
+            of = ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(turn)) % np.uint64(blocks) if blocks > 1 else np.zeros(len(fp), np.uint64)
+        for k in np.unique(of).tolist():
+            mine = fp[of == k]
+            for i in range(0, len(mine), _PACK):
+                yield k, mine[i : i + _PACK].tobytes()
+
     def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        owns, visits = shared.value
         fp = np.concatenate(held)
         quarters = tile_of(fp)
-        own = quarters @ np.array([17**3, 17**2, 17, 1])
-        order = np.argsort(own, kind="stable")
-        fp, quarters, own = fp[order], quarters[order], own[order]
-        cuts = np.flatnonzero(np.diff(own)) + 1
-        tiles, marks, packs = [], [], []
+        tile = quarters @ _PLACES
+        order = np.argsort(tile, kind="stable")
+        fp, quarters, tile = fp[order], quarters[order], tile[order]
+        cuts = np.flatnonzero(np.diff(tile)) + 1
+        out: list[tuple[int, int, bool, bytes]] = []
         for at in np.split(np.arange(len(fp)), cuts):
-            for i in range(0, len(at), _PACK):
-                part = at[i : i + _PACK]
-                to = quarters[part[0]] + steps
-                to = to[((to >= 0) & (to <= 16)).all(1)] @ np.array([17**3, 17**2, 17, 1])
-                blob = fp[part].tobytes()
-                tiles.append(to)
-                marks.append(to == own[part[0]])
-                packs += [blob] * len(to)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles)), pa.array(np.concatenate(marks)), pa.array(packs, pa.binary())], ["tile", "own", "pack"])
+            own = int(tile[at[0]])
+            for k, blob in packs(fp[at], int(owns[own]), 40):
+                out += [(own, k * int(visits[own]) + v, True, blob) for v in range(int(visits[own]))]
+            to = quarters[at[0]] + steps
+            made: dict[int, list] = {}
+            for there in (to[((to >= 0) & (to <= 16)).all(1)] @ _PLACES).tolist():
+                n, m = int(owns[there]), int(visits[there])
+                if m not in made:
+                    made[m] = list(packs(fp[at], m, 20))
+                out += [(there, k * m + v, False, blob) for v, blob in made[m] for k in range(n)]
+        tiles, blocks, marks, blobs = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int64()), pa.array(blocks, pa.int64()), pa.array(marks), pa.array(blobs, pa.binary())], ["tile", "block", "own", "pack"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -116,22 +155,20 @@ def spread(radius: int):
     return run
 
 
-def links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a and b within the radius, as two arrays; same: a is b, and each pair comes once.
+def links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different fingerprints of a and b within the radius, as the edges of a forest.
 
     Pairs of a block become a forest before the next block, so what is held stays near the number of members.
     """
     left, right = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for i in range(0, len(a), _BLOCK):
-        for j in range(i if same else 0, len(b), _BLOCK):
+        for j in range(0, len(b), _BLOCK):
             x, y = a[i : i + _BLOCK], b[j : j + _BLOCK]
-            near = np.bitwise_count(x[:, None] ^ y) <= radius
-            if same and i == j:
-                near &= np.tri(*near.shape, -1, dtype=bool)
-            p, q = np.nonzero(near)
+            p, q = np.nonzero(np.bitwise_count(x[:, None] ^ y) <= radius)
             if len(p):
-                left.append(x[p])
-                right.append(y[q])
+                other = x[p] != y[q]
+                left.append(x[p[other]])
+                right.append(y[q[other]])
         if sum(map(len, left)) > 4 * _BLOCK:
             u, v = forest(np.concatenate(left), np.concatenate(right))
             left, right = [u], [v]
@@ -139,16 +176,11 @@ def links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.nda
 
 
 def compare(radius: int):
-    """Rows (tile, own, pack) sorted by tile to forest edges (a, b)."""
+    """Rows (tile, block, own, pack) sorted by tile and block to forest edges (a, b)."""
 
     def edges(packs: list[tuple[bool, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        mine = [np.frombuffer(p, np.uint64) for own, p in packs if own]
-        if not mine:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        mine = np.concatenate(mine)
-        other = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(p, np.uint64) for own, p in packs if not own)])
-        (a, b), (c, d) = links(mine, mine, radius, True), links(mine, other, radius, False)
-        return forest(np.concatenate([a, c]), np.concatenate([b, d]))
+        mine, other = (np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(p, np.uint64) for own, p in packs if own == side)]) for side in (True, False))
+        return links(mine, other, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, packs = None, []
@@ -158,11 +190,11 @@ def compare(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            for tile, own, pack in zip(*(batch.column(c).to_pylist() for c in ("tile", "own", "pack")), strict=True):
-                if tile != now:
+            for tile, block, own, pack in zip(*(batch.column(c).to_pylist() for c in ("tile", "block", "own", "pack")), strict=True):
+                if (tile, block) != now:
                     if packs:
                         yield out()
-                    now, packs = tile, []
+                    now, packs = (tile, block), []
                 packs.append((own, pack))
         if packs:
             yield out()
@@ -172,8 +204,12 @@ def compare(radius: int):
 
 def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root) of the fingerprints in distinct(fp) that have a neighbour; root names their component."""
-    dealt = distinct.select("fp").mapInArrow(spread(radius), "tile long, own boolean, pack binary")
-    tiles = dealt.repartition("tile").sortWithinPartitions("tile")
+    got = distinct.select("fp").mapInArrow(tile_rows, "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n")).toArrow()  # at most 17^4 rows
+    counts = np.zeros(17**4, np.int64)
+    counts[got.column("tile").to_numpy()] = got.column("n").to_numpy()
+    shared = distinct.sparkSession.sparkContext.broadcast(blocks_of(counts, radius, _LARGE))
+    dealt = distinct.select("fp").mapInArrow(spread(radius, shared), "tile long, block long, own boolean, pack binary")
+    tiles = dealt.repartition("tile", "block").sortWithinPartitions("tile", "block")
     edges = materialize(tiles.mapInArrow(compare(radius), "a long, b long"), "simhash-edges")
     return components(edges, "simhash").select(F.col("node").alias("fp"), "root")
 

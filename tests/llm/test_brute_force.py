@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -303,3 +304,16 @@ def test_common_subsequence():
         for i, w in enumerate(a):
             bits[w] = bits.get(w, 0) | 1 << i
         assert latent_leaks.common(bits, len(a), b).bit_count() == plain(a, b)
+
+
+@pytest.mark.parametrize("large", [20, 1 << 17])
+def test_full_tiles_are_cut(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "_LARGE", large)
+    rng = random.Random(large)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(12)} | {0, 1, (1 << 64) - 1})
+    linked = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    want = groups(len(fps), linked)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = {r["fp"]: r["root"] for r in simhash.near_fingerprints(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert len({(got.get(x, x), w) for x, w in zip(signed, want, strict=True)}) == len(set(want)) == len({got.get(x, x) for x in signed})
