@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where a session names none (tests, one machine) a temporary folder of this machine takes its place.
+    Where a session names none and runs in one process (tests) a temporary folder of this machine takes its place; on a
+    cluster executors would write to their own disks, so there it must be set.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = os.environ.setdefault("LAWMILL_SHARED_DIR", "") or tempfile.mkdtemp(prefix="lawmill-")
         os.environ["LAWMILL_SHARED_DIR"] = root
     return root.rstrip("/")
@@ -40,6 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever the letters' case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def fold_mod(doc_id: Column | str, n: int) -> Column:
     """crc32(doc_id as text) mod n; null ids give null."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

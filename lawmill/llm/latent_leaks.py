@@ -12,9 +12,11 @@ every word; a window whose words, each at its best, cannot reach the share that
 this bound, without a product. Nothing else is skipped, every window of every text is judged. Windows are doubled until
 the longest item of a block is covered, so an item of any length fits into the window it is sought with.
 
-The benchmark is the query set: it goes to all documents in blocks of at most `block` items, so what is broadcast at
-once is bounded whatever its size. Documents are read once for the frequencies and once for each block; nothing of
-them is shuffled but one row for each benchmark word and task.
+One latent space is fitted to all passages of the benchmark, and words have hashed places in it, so its size has a
+bound and a cosine does not depend on what else is sought with an item. The benchmark is the query set: it goes to all
+documents in blocks of about `block` items, so what is broadcast at once is bounded whatever its size. Documents are
+read once for the frequencies and once for each block; nothing of them is shuffled but one row for each benchmark word
+and task.
 
 Null and empty texts, and items without words, match nothing. Rows that repeat a doc_id are judged one by one; a null
 doc_id is returned as null. Empty tables give no rows.
@@ -29,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from lawmill.llm.common import table, union_all
+from lawmill.llm.common import free_name, materialize, table, union_all
 
 RANK, OVERSAMPLE, TURNS = 192, 16, 2
 STEP = 8
@@ -41,6 +44,8 @@ COSINE, SHARE = 0.45, 0.45
 #: Least share of the item's words, and of its answer's, in the common subsequence.
 LCS, ANSWER = 0.6, 0.4
 BLOCK = 4096
+#: Places of words in the latent space, words of a passage, and benchmark words sought in one reading of the documents.
+BUCKETS, PASSAGE, SLICE = 1 << 17, 384, 1 << 18
 _WORD = re.compile(r"[^\W_]+")
 PAIRS = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long"
 
@@ -80,57 +85,120 @@ def common(item: dict[str, int], n: int, region: list[str]) -> int:
     return full ^ v
 
 
+def bucket(word: str) -> int:
+    """The place of a word in the latent space, one of BUCKETS by hash: so its size has a bound, whatever the benchmark's."""
+    return xxh64_intdigest(word.encode()) & (BUCKETS - 1)
+
+
 def document_counts(vocabulary):
-    """In how many documents of the task each vocabulary word is: rows (w, n), and the number of documents at -1."""
+    """In how many documents of the task each bucket of vocabulary words is: rows (w, n), and the number of documents at -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = vocabulary.value
-        n, docs = np.zeros(len(place), np.int64), 0
+        n, docs = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 docs += 1
-                at = [place[w] for w in place.keys() & set(words_of(raw))]
-                n[at] += 1
+                n[[*{place[w] for w in place.keys() & set(words_of(raw))}]] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([docs, *n[at].tolist()], pa.int64())], ["w", "n"])
 
     return run
 
 
+def vocabulary_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([*{w for raw in batch.column(0).to_pylist() for w in words_of(raw)}], pa.string())], ["word"])
+
+
+def bucket_weights(texts: DataFrame, queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of the benchmark's words, their inverse document frequencies in texts), from all rows of both.
+
+    The vocabulary is sought in slices of about SLICE words, each in one reading of the texts: usually there is one.
+    """
+    spark = texts.sparkSession
+    words = queries.select("text").mapInArrow(vocabulary_words, "word string").distinct()
+    slices = max(1, -(-words.count() // SLICE))
+    total: dict[int, int] = {}
+    docs, used = 0, set()
+    for k in range(slices):
+        found = words.where(F.pmod(F.xxhash64("word"), F.lit(slices)) == k).toArrow().column("word").to_pylist()
+        place = {w: bucket(w) for w in found}
+        used |= set(place.values())
+        seen = texts.select("raw").mapInArrow(document_counts(spark.sparkContext.broadcast(place)), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+        for w, n in zip(*seen.toArrow().to_pydict().values(), strict=True):
+            if w < 0:
+                docs = n
+            else:
+                total[w] = total.get(w, 0) + n
+    at = np.array(sorted(used), np.int64)
+    counts = np.minimum(docs, np.array([total.get(w, 0) for w in at.tolist()], np.float64))
+    return at, np.log((docs + 1) / (counts + 1)) + 1e-3
+
+
+def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (text) to (at), the buckets of their words in passages of at most PASSAGE words."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0).to_pylist():
+            at = [bucket(w) for w in words_of(text)]
+            out += [at[i : i + PASSAGE] for i in range(0, len(at), PASSAGE)]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["at"])
+
+
 def project(shared):
-    """Items (place list) to their part of A^T (A B): rows (w, values), summed over tasks by the caller."""
+    """Passages (bucket list) to their part of A^T (A B): rows (w, values), a row for each bucket of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, b = shared.value
+        used, idf, b = shared.value
         total = np.zeros_like(b)
         for batch in batches:
             for at in batch.column(0).to_pylist():
-                at, n = np.unique(np.array(at, np.int64), return_counts=True)
+                at, n = np.unique(used.searchsorted(np.array(at, np.int64)), return_counts=True)
                 x = n * idf[at]
                 x /= max(np.sqrt(x @ x), 1e-12)
                 total[at] += np.outer(x, x @ b[at])
-        used = np.flatnonzero(np.abs(total).any(1))
-        for part in np.array_split(used, max(1, len(used) // 2000)):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].tolist(), pa.list_(pa.float64()))], ["w", "x"])
+        found = np.flatnonzero(np.abs(total).any(1))
+        for part in np.array_split(found, max(1, len(found) // 2000)):
+            flat = pa.array(total[part].reshape(-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * b.shape[1]), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(part), lists], ["w", "x"])
 
     return run
 
 
-def latent_axes(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 10) -> np.ndarray:
-    """Right singular vectors [word, rank] of the tf-idf matrix of items(at): randomised range finder with power turns.
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (w, x) sorted by w to one row for each w."""
+    now, total = None, None
+    for batch in batches:
+        for w, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = x.values.to_numpy()
+            if w != now:
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total], pa.list_(pa.float64()))], ["w", "x"])
+                now, total = w, np.zeros(len(x))
+            total = total + x
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total], pa.list_(pa.float64()))], ["w", "x"])
+
+
+def latent_axes(items: DataFrame, used: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 10) -> np.ndarray:
+    """Right singular vectors [place in used, rank] of the tf-idf matrix of items(at): randomised range finder with power turns.
 
-    Each turn is a distributed product with A^T A; what comes back is one row for each benchmark word.
+    Each turn is a distributed product with A^T A, summed on the executors; what comes back is one row for each bucket
+    in use, of which there are at most BUCKETS.
     """
     spark, size = items.sparkSession, min(rank + OVERSAMPLE, len(idf))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), size)))[0]
     image = basis
-    for _ in range(TURNS):
-        shared = spark.sparkContext.broadcast((idf, basis))
-        rows = items.select("at").mapInArrow(project(shared), "w long, x array<double>").toArrow()
+    for turn in range(TURNS):
+        shared = spark.sparkContext.broadcast((used, idf, basis))
+        rows = items.select("at").mapInArrow(project(shared), "w long, x array<double>")
+        got = rows.repartition("w").sortWithinPartitions("w").mapInArrow(summed, "w long, x array<double>").toArrow()
         image = np.zeros_like(basis)
-        if rows.num_rows:
-            np.add.at(image, rows.column("w").to_numpy(), np.array(rows.column("x").to_pylist()))
-        basis = np.linalg.qr(image)[0] if _ + 1 < TURNS else basis
+        if got.num_rows:
+            image[got.column("w").to_numpy()] = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        basis = np.linalg.qr(image)[0] if turn + 1 < TURNS else basis
     # Rayleigh-Ritz on the last basis: image = A^T A basis
     values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
     keep = np.argsort(-values)[: min(rank, size)]
@@ -232,6 +300,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("raw"))
     queries = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     blocks = max(1, -(-queries.count() // block))
+    used, idf = bucket_weights(texts, queries)
+    if not len(used):
+        return spark.createDataFrame([], PAIRS)
+    axes = latent_axes(materialize(queries.select("text").mapInArrow(passages, "at array<long>"), "leaks-passages"), used, idf)
     parts = []
     for k in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else queries
@@ -240,16 +312,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
         if not got:
             continue
         vocabulary = sorted({w for _, t in got for w in words_of(t)})
-        place = {w: i for i, w in enumerate(vocabulary)}
-        shared = spark.sparkContext.broadcast(place)
-        seen = texts.select("raw").mapInArrow(document_counts(shared), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-        counts = dict(zip(seen.column("w").to_pylist(), seen.column("n").to_pylist(), strict=True))
-        n = counts.get(-1, 0)
-        idf = np.array([np.log((n + 1) / (counts.get(i, 0) + 1)) + 1e-3 for i in range(len(vocabulary))])
-        rows = spark.createDataFrame([([place[w] for w in words_of(t)],) for _, t in got], "at array<long>")
-        axes = latent_axes(rows, idf)
-        model = spark.sparkContext.broadcast(Items([i for i, _ in got], [t for _, t in got], place, idf, axes))
-        parts.append(texts.mapInArrow(find_items(model), PAIRS))
+        at = used.searchsorted(np.array([bucket(w) for w in vocabulary], np.int64))
+        model = Items([i for i, _ in got], [t for _, t in got], {w: i for i, w in enumerate(vocabulary)}, idf[at], axes[at])
+        parts.append(texts.mapInArrow(find_items(spark.sparkContext.broadcast(model)), PAIRS))
     return union_all(parts) if parts else spark.createDataFrame([], PAIRS)
 
 
@@ -258,8 +323,8 @@ def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no item is found, all columns kept. A null doc_id is told apart by its text."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    """The rows in whose text no item is found, all columns kept; rows that share a doc_id are judged by their own texts."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = find_leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = found.select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.withColumn("__key", key).join(leaks, F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+    leaks = found.select(F.col("doc_id").alias(free_name("leak", docs.columns))).distinct()
+    return docs.join(leaks, key == F.col(leaks.columns[0]), "left_anti")
