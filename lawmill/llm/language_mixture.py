@@ -11,6 +11,8 @@ the id alone; what is learned and broadcast has a fixed size for each language.
 letters only; digits and marks count for nothing. Everything else reads whole texts.
 
 A null text, or one without a letter, gets `und` and score 0, as does every text when there is nothing to learn from.
+Rows that repeat a doc_id each come back, and each trains if its hash is in the sample. Of languages equally likely the
+first by code point is taken. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ ORDERS = (2, 3, 4)
 SAMPLE = 4096
 #: What a word's likelihoods are raised to: n-grams of a word overlap and are not independent.
 _HEAT = 0.5
-_STEPS = 12
+#: Expectation-maximisation ends when no proportion moves by more than _STILL in a step, or after _STEPS.
+_STILL, _STEPS = 1e-5, 500
 _MOST = 200_000
 #: Most values of an array over n-grams or words and languages.
 _CELLS = 40_000_000
@@ -129,7 +132,10 @@ def mixture(ll: np.ndarray, n: np.ndarray) -> np.ndarray:
         q = p[:, use]
         share = np.full(len(use), 1 / len(use))
         for _ in range(_STEPS if len(use) > 1 else 0):
-            share *= (n / (q @ share + 1e-300)) @ q / total
+            turn = (n / (q @ share + 1e-300)) @ q / total
+            share = share * turn
+            if np.abs(share * (turn - 1)).max() < _STILL:
+                break
         return share, float(n @ np.log(q @ share + 1e-300))
 
     full, _ = em(list(range(p.shape[1])))
@@ -140,8 +146,6 @@ def mixture(ll: np.ndarray, n: np.ndarray) -> np.ndarray:
     for k in np.argsort(-full, kind="stable").tolist():
         if k in use:
             continue
-        if full[k] < 0.01:
-            break
         wider, value = em([*use, k])
         if value - best <= penalty:
             break

@@ -44,8 +44,8 @@ COSINE, SHARE = 0.45, 0.45
 #: Least share of the item's words, and of its answer's, in the common subsequence.
 LCS, ANSWER = 0.6, 0.4
 BLOCK = 4096
-#: Places of words in the latent space, words of a passage, and benchmark words sought in one reading of the documents.
-BUCKETS, PASSAGE, SLICE = 1 << 17, 384, 1 << 18
+#: Places of words in the latent space, words of a passage, and benchmark words sought in one reading of the documents and at all.
+BUCKETS, PASSAGE, SLICE, MOST_WORDS = 1 << 17, 384, 1 << 18, 1 << 21
 _WORD = re.compile(r"[^\W_]+")
 PAIRS = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long"
 
@@ -111,29 +111,33 @@ def vocabulary_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([*{w for raw in batch.column(0).to_pylist() for w in words_of(raw)}], pa.string())], ["word"])
 
 
-def bucket_weights(texts: DataFrame, queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of the benchmark's words, their inverse document frequencies in texts), from all rows of both.
+def bucket_weights(texts: DataFrame, queries: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """(word of the benchmark -> place, buckets by place, their inverse document frequencies in texts), from all rows of both.
 
-    The vocabulary is sought in slices of about SLICE words, each in one reading of the texts: usually there is one.
+    The vocabulary is sought in slices of about SLICE words, each in one reading of the texts: usually there is one. A
+    benchmark of more than MOST_WORDS distinct words raises an error: its words are broadcast.
     """
     spark = texts.sparkSession
     words = queries.select("text").mapInArrow(vocabulary_words, "word string").distinct()
-    slices = max(1, -(-words.count() // SLICE))
+    if (n := words.count()) > MOST_WORDS:
+        raise ValueError(f"the benchmark has {n} distinct words, more than {MOST_WORDS}: give it in parts")
+    slices = max(1, -(-n // SLICE))
     total: dict[int, int] = {}
-    docs, used = 0, set()
+    docs, every = 0, {}
     for k in range(slices):
         found = words.where(F.pmod(F.xxhash64("word"), F.lit(slices)) == k).toArrow().column("word").to_pylist()
         place = {w: bucket(w) for w in found}
-        used |= set(place.values())
+        every |= place
         seen = texts.select("raw").mapInArrow(document_counts(spark.sparkContext.broadcast(place)), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
         for w, n in zip(*seen.toArrow().to_pydict().values(), strict=True):
             if w < 0:
                 docs = n
             else:
                 total[w] = total.get(w, 0) + n
-    at = np.array(sorted(used), np.int64)
+    at = np.array(sorted(set(every.values())), np.int64)
+    to = {b: i for i, b in enumerate(at.tolist())}
     counts = np.minimum(docs, np.array([total.get(w, 0) for w in at.tolist()], np.float64))
-    return at, np.log((docs + 1) / (counts + 1)) + 1e-3
+    return {w: to[b] for w, b in every.items()}, at, np.log((docs + 1) / (counts + 1)) + 1e-3
 
 
 def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +304,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("raw"))
     queries = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     blocks = max(1, -(-queries.count() // block))
-    used, idf = bucket_weights(texts, queries)
+    place, used, idf = bucket_weights(texts, queries)
     if not len(used):
         return spark.createDataFrame([], PAIRS)
     axes = latent_axes(materialize(queries.select("text").mapInArrow(passages, "at array<long>"), "leaks-passages"), used, idf)
@@ -311,9 +315,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Dat
         got = [(i, t) for i, t in got if words_of(t)]
         if not got:
             continue
-        vocabulary = sorted({w for _, t in got for w in words_of(t)})
-        at = used.searchsorted(np.array([bucket(w) for w in vocabulary], np.int64))
-        model = Items([i for i, _ in got], [t for _, t in got], {w: i for i, w in enumerate(vocabulary)}, idf[at], axes[at])
+        model = Items([i for i, _ in got], [t for _, t in got], place, idf, axes)
         parts.append(texts.mapInArrow(find_items(spark.sparkContext.broadcast(model)), PAIRS))
     return union_all(parts) if parts else spark.createDataFrame([], PAIRS)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lawmill.llm.common import materialize, table
+from lawmill.llm.common import free_name, materialize, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -207,12 +207,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, all columns kept; rows alike in id, text and source share their copies."""
     taken, _ = choose(docs, SHARE, SEED)
-    taken = taken.groupBy(F.col("h").alias("__h"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
-    plan = materialize(taken.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__alike")).where("__copies > 0"), "mix-copies")
-    keyed = docs.withColumn("__key", row_hash(SEED))
-    same = (F.col("__key") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+    h, i, source, copies, alike, key, n, copy = (free_name(f"mix_{k}", docs.columns) for k in ("h", "id", "source", "copies", "alike", "key", "n", "copy"))
+    taken = taken.groupBy(F.col("h").alias(h), F.col("doc_id").alias(i), F.col("source").alias(source))
+    plan = materialize(taken.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(alike)).where(F.col(copies) > 0), "mix-copies")
+    keyed = docs.withColumn(key, row_hash(SEED))
+    same = (F.col(key) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(i)) & keyed["source"].eqNullSafe(F.col(source))
     joined = keyed.join(plan, same)
-    turn = F.row_number().over(Window.partitionBy("__key", "doc_id", "source").orderBy(F.lit(0)))
-    each = F.floor(F.col("__copies") / F.col("__alike")) + (turn <= F.col("__copies") % F.col("__alike")).cast("long")
-    counted = joined.withColumn("__n", each.cast("int")).where("__n > 0")
-    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
+    each = F.floor(F.col(copies) / F.col(alike)).cast("long")
+    even = joined.where(F.col(copies) % F.col(alike) == 0).withColumn(n, each.cast("int"))  # also each row that has no like
+    turn = F.row_number().over(Window.partitionBy(key, "doc_id", "source").orderBy(F.lit(0)))
+    odd = joined.where(F.col(copies) % F.col(alike) != 0)
+    odd = odd.withColumn(n, (each + (turn <= F.col(copies) % F.col(alike)).cast("long")).cast("int"))
+    counted = even.unionByName(odd).where(F.col(n) > 0)
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)

@@ -6,7 +6,11 @@ never seen in training is still recognised. Feature values are shares of the tex
 thing that is broadcast.
 
 The trainer is sequential; it reads a seeded sample of about `sample` labelled rows (each row is in it by the hash of
-its id alone) and runs in one task whose input is bounded by that.
+its id alone) and runs in one task whose input is bounded by that, and takes texts one by one as features.
+
+Null and empty texts have a score, that of no words. Rows that repeat a doc_id each come back; a doc_id with two labels
+trains with both, the 0 first. Equal texts have equal scores. Without labels every score is 0.5; an empty table gives no
+rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm.common import HashedWords, fold_mod, mix, table
+from lawmill.llm.common import HashedWords, fold_mod, free_name, mix, table
 
 BITS = 20
 SAMPLE = 8192
@@ -136,9 +140,9 @@ def score_texts(weights, name: str):
 def classify(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
     """The columns `keep` of docs and the score under `name`; null and empty texts have a score too, that of no words."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = docs.select(*keep, F.col("text").cast("string").cast("binary").alias("__raw"))
+    rows = docs.select(*keep, F.col("text").cast("string").cast("binary").alias(free_name("raw", [*keep, name])))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score_texts(shared, name), f"{kinds}, {name} double")
+    return rows.mapInArrow(score_texts(shared, name), f"{kinds}, `{name}` double")
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -160,6 +164,6 @@ def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score reaches the threshold, all columns kept."""
-    names = docs.columns
-    scored = classify(docs, fit_on_labels(spark, docs, sf_dir), names, "__score")
-    return scored.where(F.col("__score") >= THRESHOLD).select(*names)
+    names, score = docs.columns, free_name("score", docs.columns)
+    scored = classify(docs, fit_on_labels(spark, docs, sf_dir), names, score)
+    return scored.where(F.col(score) >= THRESHOLD).select(*names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm.common import components, forest, materialize, table
+from lawmill.llm.common import components, forest, free_name, materialize, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -66,7 +66,7 @@ def fingerprint_rows(shingle: int):
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with a column fp (signed 64-bit) in place of text; null and empty texts have fingerprint 0."""
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*rest, F.col("text").cast("string").cast("binary").alias("__raw"))
+    rows = docs.select(*rest, F.col("text").cast("string").cast("binary").alias(free_name("raw", rest)))
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "fp long"])
     return rows.mapInArrow(fingerprint_rows(shingle), kinds)
 
@@ -240,6 +240,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows that repeat this doc_id are the same document and all stay; so do rows without doc_id, which no id can single out.
     """
-    kept = group_documents(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    once = docs.where("doc_id is not null").join(materialize(kept, "simhash-kept"), F.col("doc_id") == F.col("__id"), "left_semi")
+    name = free_name("id", docs.columns)
+    kept = group_documents(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    once = docs.where("doc_id is not null").join(materialize(kept, "simhash-kept"), F.col("doc_id") == F.col(name), "left_semi")
     return once.unionByName(docs.where("doc_id is null"))
