@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from lawmill.functions import text as T
 
 #: Titles are broadcast up to this many words in all; beyond it the join on words shuffles both sides.
 MOST_BROADCAST = 2_000_000
+#: Characters of terms that one automaton holds.
+TERM_CHARS = 4_000_000
 
 
 def found(c: Column, pack: P.Pack) -> Column:
@@ -25,6 +30,11 @@ def extract(docs: DataFrame, name: str = "file_name", text: str = "text", pack:
     return docs.select(name, norm.alias("norm")).select(name, found(F.col("norm"), pack).alias("laws_cited")).withColumn("count", F.size("laws_cited"))
 
 
+def snippets(c: Column) -> Column:
+    """[SCL-18] The plainer spans of snippet inference, each to its full stop; they may run over line ends."""
+    return F.regexp_extract_all(c, F.lit(P.SNIPPET), F.lit(0))
+
+
 def total(cited: DataFrame) -> DataFrame:
     """[AGG-2]"""
     return cited.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("total"))
@@ -80,12 +90,38 @@ def labelled(rows: DataFrame, citations: str = "citations") -> Column:
 def triage(unlabelled: DataFrame, titles: DataFrame, text: str = "input", title: str = "title", extra: list[str] = P.TRIAGE_WORDS) -> DataFrame:
     """[FLT-6, FLT-7, SET-4, SEM-15] Rows that contain a title or one of the extra words, whatever the case.
 
-    Terms are matched literally. A frame without the column gives no rows. The dictionary is broadcast; a row stays
-    once, however many terms it has.
+    Terms are matched literally, by one pass of an Aho-Corasick automaton over each text for all of them. The dictionary
+    goes out in parts of at most TERM_CHARS characters, each a pass of its own, so what is broadcast has a bound. A frame
+    without the column gives no rows; a row stays once, however many terms it has.
     """
     if text not in unlabelled.columns:
         return unlabelled.limit(0)
     terms = titles.select(F.lower(title).alias("term")).where(F.col("term").isNotNull())
     words = unlabelled.sparkSession.createDataFrame([(w.lower(),) for w in extra], "term string") if extra else terms.limit(0)
-    every = terms.unionByName(words).distinct()
-    return unlabelled.join(F.broadcast(every), F.contains(F.lower(F.col(text)), F.col("term")), "left_semi")
+    every, parts, size = terms.unionByName(words).where("term <> ''").distinct(), [[]], 0
+    for r in every.toLocalIterator():  # a dictionary of law titles, taken in parts
+        if size > TERM_CHARS:
+            parts.append([])
+            size = 0
+        parts[-1].append(r["term"])
+        size += len(r["term"])
+    low, hit = F.lower(F.col(text)), F.lit(False)
+    for part in filter(None, parts):
+        hit |= contains_any(unlabelled.sparkSession.sparkContext.broadcast(part))(low)
+    return unlabelled.where(hit)
+
+
+def contains_any(terms) -> Callable[[Column], Column]:
+    """Whether a text contains any of the broadcast terms."""
+
+    def match(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for term in terms.value:
+            automaton.add_word(term, 1)
+        automaton.make_automaton()
+        for batch in texts:
+            yield batch.map(lambda x: x is not None and next(automaton.iter(x), None) is not None).astype(bool)
+
+    return F.pandas_udf(match, "boolean")

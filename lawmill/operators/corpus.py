@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
 
 from lawmill.functions import text as T
+from lawmill.sources.scratch import written
 
 PAD, UNKNOWN = 0, 1
 
 
 def numbered(rows: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
-    """rows with an int column name that counts them in order: range partitions, then offsets, no single task."""
-    schema = T_.StructType([*rows.schema.fields, T_.StructField(name, T_.LongType())])
-    counted = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first))
-    return rows.sparkSession.createDataFrame(counted, schema).withColumn(name, F.col(name).cast("int"))
+    """rows with a long column name that counts them in order: range partitions, their sizes, then offsets; no single task.
+
+    The sorted rows are written once, since a range partitioning that runs twice may cut elsewhere. What is gathered is one
+    row a partition.
+    """
+    at, part, row = "__at", "__part", F.monotonically_increasing_id()
+    placed = rows.orderBy(*order).withColumn(part, F.shiftright(row, 33)).withColumn(at, row.bitwiseAND(F.lit((1 << 33) - 1)))
+    placed, before, starts = written(placed, "numbered"), first, []
+    for r in placed.groupBy(part).count().orderBy(part).collect():
+        starts += [F.lit(r[part]), F.lit(before)]
+        before += r["count"]
+    start = F.element_at(F.create_map(*starts), F.col(part)) if starts else F.lit(first)
+    return placed.withColumn(name, (start + F.col(at)).cast("long")).drop(part, at)
+
+
+def mini_batches(rows: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """[SMP-4] rows with batch: numbers of shuffled mini-batches of `size`, in the order of a seeded hash of the key."""
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    return numbered(rows.withColumn("__h", h), ["__h", key], "batch").withColumn("batch", F.floor(F.col("batch") / size)).drop("__h")
+
+
+def per_file(samples: DataFrame, name: str = "file_name") -> DataFrame:
+    """[AGG-18] (name, n): samples of each file; their rows stay where they are, a file of many is never gathered."""
+    return samples.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
 
 
 def word_counts(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
@@ -38,7 +58,7 @@ def vocabulary(counts: DataFrame, key: str, first: str | None = None, most: int
     """[SRT-5, FLT-17] (key, id): ids from 2 by falling count, ties by first place (or by the key itself)."""
     order = [F.desc("cnt"), F.col(first or key)]
     ranked = counts.orderBy(*order).limit(most) if most else counts
-    return numbered(ranked, order, "id", 2).select(key, "id")
+    return numbered(ranked, order, "id", 2).select(key, F.col("id").cast("int").alias("id"))
 
 
 def encode(tokens: Column, ids: Column, lower: bool = True) -> Column:

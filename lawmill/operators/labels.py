@@ -140,3 +140,17 @@ def render(template: str, fields: list[str]) -> Column:
             raise KeyError(name)
         parts += [F.lit(before), T.safe_text(F.col(name).cast("string"))]
     return F.concat(*parts, F.lit(rest))
+
+
+#: ---- fixed values: what is kept of a candidate beside its label
+INPUT_KEYS = ["file_name", "candidate_id", "line_index", "candidate_line", "previous_1", "next_1"]
+
+
+def input_json(rows: DataFrame) -> Column:
+    """[PRJ-7] The candidate's own columns as a JSON object; columns it lacks are null."""
+    return F.to_json(F.struct(*(F.col(k) if k in rows.columns else F.lit(None).cast("string").alias(k) for k in INPUT_KEYS)), {"ignoreNullFields": "false"})
+
+
+def ordered_outputs(rows: DataFrame) -> DataFrame:
+    """[SRT-9] Results by file, line and candidate."""
+    return rows.orderBy("file_name", "line_index", "candidate_id")

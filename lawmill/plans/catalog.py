@@ -47,7 +47,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.line_rows(_docs(spark, sf_dir), "doc_id", unicode_form=False)
+    return S.line_rows(_docs(spark, sf_dir), "doc_id")
 
 
 def _golden(rows: list[tuple], names: str) -> str:
@@ -62,13 +62,13 @@ _LINES = rf"""
 lines AS (
   SELECT doc_id, line, i - 1 AS line_index, n AS n_lines FROM (
     SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n FROM (
-      SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'),
+      SELECT doc_id, list_filter(list_transform(regexp_split_to_array(nfc_normalize(coalesce(text, '')), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'),
         lambda x: trim(regexp_replace(replace(x, chr(65279), ' '), '{_WS}', ' ', 'g'))), lambda x: x <> '') AS l FROM documents)))
 """
 _CITED = rf"""
 cited AS (
   SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(
-    trim(regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g')), '{P.LICENSE_EN.citation}', 0),
+    trim(regexp_replace(nfc_normalize(coalesce(text, '')), '{_WS}', ' ', 'g')), '{P.LICENSE_EN.citation}', 0),
     lambda m: trim(regexp_replace(m, '{_WS}', ' ', 'g'))), lambda m: len(string_split(m, ' ')) > 2 AND NOT contains(lower(m), '{P.LICENSE_EN.unwanted}')))) AS law
   FROM documents)
 """
@@ -92,20 +92,20 @@ def _re(marker: str) -> str:
 @query(f"WITH {_CITED} SELECT doc_id, law FROM cited")
 def citation_extract(spark, sf_dir):
     """SEM-1 with FLT-1, FLT-2, AGG-1 over every document."""
-    cited = C.extract(_docs(spark, sf_dir), "doc_id", pack=P.LICENSE_EN, unicode_form=False)
+    cited = C.extract(_docs(spark, sf_dir), "doc_id", pack=P.LICENSE_EN)
     return cited.select("doc_id", F.explode("laws_cited").alias("law"))
 
 
 @query(f"WITH {_CITED}, c AS (SELECT doc_id, count(law) AS n FROM documents LEFT JOIN cited USING (doc_id) GROUP BY doc_id) SELECT doc_id, n::BIGINT AS n FROM c")
 def citation_records(spark, sf_dir):
     """PRJ-1: a record for every document, empty ones too."""
-    return C.extract(_docs(spark, sf_dir), "doc_id", pack=P.LICENSE_EN, unicode_form=False).select("doc_id", F.col("count").cast("long").alias("n"))
+    return C.extract(_docs(spark, sf_dir), "doc_id", pack=P.LICENSE_EN).select("doc_id", F.col("count").cast("long").alias("n"))
 
 
 @query(f"WITH {_CITED} SELECT count(*)::BIGINT AS total FROM cited")
 def citation_total(spark, sf_dir):
     """AGG-2"""
-    return C.total(C.extract(_docs(spark, sf_dir), "doc_id", pack=P.LICENSE_EN, unicode_form=False))
+    return C.total(C.extract(_docs(spark, sf_dir), "doc_id", pack=P.LICENSE_EN))
 
 
 _VI = [
@@ -283,7 +283,7 @@ def section_slices(spark, sf_dir):
     """SEM-11: markers are the first lines that match the licence pack."""
     rows = _lines(spark, sf_dir)
     first = rows.groupBy("doc_id").agg(*(F.min(F.when(F.col("line").rlike(P.LICENSE_EN.markers[m]), F.col("line_index"))).alias(m) for m in P.MARKERS))
-    docs = _docs(spark, sf_dir).select("doc_id", T.lines(F.col("text"), False).alias("lines")).join(first, "doc_id")
+    docs = _docs(spark, sf_dir).select("doc_id", T.lines(F.col("text")).alias("lines")).join(first, "doc_id")
     out = S.slice_sections(docs)
     return out.select("doc_id", F.array_contains("section_warnings", "invalid_order_ratio_fallback").alias("reset"), *(f"sections.{m}" for m in P.MARKERS))
 
@@ -303,7 +303,7 @@ def section_select(spark, sf_dir):
 # ---- labels --------------------------------------------------------------------------------------------------------
 _LLM = [
     ("1", "khoản 4 Điều 174 Bộ luật Hình sự.", "ART: 174 | LAW: 5-8", [("174", "Bộ luật Hình sự.")]),
-    ("2", "các Điều 271, Điều 272 và Điều 273 Bộ luật tố tụng Dân sự.", "ART: 271,272,273 | LAW: 9-13", [("271,272,273", "Bộ luật tố tụng Dân")]),
+    ("2", "các Điều 271, Điều 272 và Điều 273 Bộ luật tố tụng Dân sự.", "ART: 271,272,273 | LAW: 9-14", [("271,272,273", "Bộ luật tố tụng Dân sự.")]),
     ("3", "Luật Đất đai", "ART: | LAW: 1-3", [("", "Luật Đất đai")]),
     ("4", "không có", "NL", []),
     ("5", "a b c d e f g h", "ART: 10a,5 | LAW: 5-99\nART: 7 | LAW: 1-2", [("5", "[INVALID_RANGE]"), ("7", "a b")]),
