@@ -39,9 +39,11 @@ class Shapes(dict):
     """bytes -> (hash of the lowered word, hash of its shape)."""
 
     def __init__(self, most: int = 300_000):
+        from xxhash import xxh64_intdigest
+
         super().__init__()
-        self.words, self.most = HashedWords(seed=6), most
-        self.forms = HashedWords(seed=7)
+        self.digest, self.most = xxh64_intdigest, most
+        self.forms = HashedWords(seed=7, most=50_000)
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         core = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -49,7 +51,7 @@ class Shapes(dict):
         case = b"U" if text.isupper() and len(text) > 1 else b"T" if text[:1].isupper() else b"l" if text.isalpha() else b"d" if text else b"-"
         tail = word[word.rfind(core) + len(core) :][-2:] if core else word[:2]
         size = b"0123456789"[min(len(text) // 3, 5) :][:1]
-        value = self.words[word.lower()], self.forms[case + size + b" " + tail]
+        value = self.digest(word.lower(), 6), self.forms[case + size + b" " + tail]
         if len(self) < self.most:
             self[word] = value
         return value

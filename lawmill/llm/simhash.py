@@ -242,5 +242,6 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     name = free_name("id", docs.columns)
     kept = group_documents(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    once = docs.where("doc_id is not null").join(materialize(kept, "simhash-kept"), F.col("doc_id") == F.col(name), "left_semi")
+    # one plan at every size: both sides meet by id, no matter how few ids there are
+    once = docs.where("doc_id is not null").join(materialize(kept, "simhash-kept").hint("merge"), F.col("doc_id") == F.col(name), "left_semi")
     return once.unionByName(docs.where("doc_id is null"))
