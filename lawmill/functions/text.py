@@ -45,6 +45,7 @@ def safe_text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+# ---- fixed values: the patterns of the normal forms below, whose results must be equal ------------------------------
 def normalize_legal(c: Column, variant: str = "extract", unicode_form: bool = True) -> Column:
     """[SCL-1..3] variant: extract; highlight keeps line ends and collapses blanks last; tagger also knows case law."""
     x = nfc(c) if unicode_form else c
