@@ -52,8 +52,8 @@ def citation(amendment: bool = False) -> str:
 
 
 CITATION = citation()
-#: The plainer pattern of snippet inference.
-SNIPPET = r"(?:các )?(Điều|khoản|điểm) \p{Nd}+[^.]*\."
+#: Fixed value: the plainer pattern of snippet inference; counts in any case, over any white space.
+SNIPPET = FLAGS + r"(?:các\s+)?(?:Điều|khoản|điểm)\s+[\p{Nd},\s]+(?:và\s+[\p{Nd},\s]+)?[^.]*\."
 #: Law words that a ';' before "của/thuộc/theo" may precede; case law only in the tagger's variant.
 LAW_START = r"(?:bộ\s+luật|luật|BLHS|BLDS|BLTTDS|BLTTHS|BLTTHC|nghị\s+quyết|nghị\s+định|thông\s+tư|pháp\s+lệnh)"
 LAW_START_TAGGER = LAW_START[:-1] + r"|án\s+lệ)"

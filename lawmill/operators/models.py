@@ -44,13 +44,15 @@ def char_features(ids: np.ndarray, table: np.ndarray, kernel: np.ndarray, bias:
 
 def lstm(x: np.ndarray, w: dict, reverse: bool) -> np.ndarray:
     """[batch, time, in] to [batch, time, hidden], one direction."""
-    hidden = w["hh"].shape[1]
-    h, c = np.zeros((len(x), hidden)), np.zeros((len(x), hidden))
-    out = np.zeros((*x.shape[:2], hidden))
+    n = w["hh"].shape[1]
+    given, back = np.ascontiguousarray(np.swapaxes(x @ w["ih"].T + w["bih"] + w["bhh"], 0, 1)), w["hh"].T
+    h, c = np.zeros((len(x), n)), np.zeros((len(x), n))
+    out = np.zeros((*x.shape[:2], n))
     for t in range(x.shape[1])[:: -1 if reverse else 1]:
-        i, f, g, o = np.split(x[:, t] @ w["ih"].T + w["bih"] + h @ w["hh"].T + w["bhh"], 4, axis=1)
-        c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
-        h = sigmoid(o) * np.tanh(c)
+        z = given[t] + h @ back
+        gates = sigmoid(z)
+        c = gates[:, n : 2 * n] * c + gates[:, :n] * np.tanh(z[:, 2 * n : 3 * n])
+        h = gates[:, 3 * n :] * np.tanh(c)
         out[:, t] = h
     return out
 
@@ -67,13 +69,23 @@ def gru(x: np.ndarray, w: dict, reverse: bool) -> np.ndarray:
 
 
 def both_ways(x: np.ndarray, lengths: np.ndarray, cell, forward: dict, backward: dict) -> np.ndarray:
-    """A bidirectional layer over padded sequences; padding neither reads nor writes state."""
-    out = np.zeros((*x.shape[:2], 2 * forward["hh"].shape[1]))
-    for n in np.unique(lengths):
-        at = lengths == n
-        part = x[at, :n]
-        out[at, :n] = np.concatenate([cell(part, forward, False), cell(part, backward, True)], 2)
-    return out
+    """A bidirectional layer over padded sequences; padding neither reads nor writes state.
+
+    Padding stands at the end, so the forward pass meets it last, and the backward pass reads each sequence turned round
+    within its own length.
+    """
+    at = np.arange(x.shape[1])[None, :]
+    real = at < lengths[:, None]
+    turned = np.where(real, lengths[:, None] - 1 - at, at)[..., None]
+    back = np.take_along_axis(cell(np.take_along_axis(x, turned, 1), backward, False), turned, 1)
+    return np.concatenate([cell(x, forward, False), back], 2) * real[..., None]
+
+
+def distinct_vectors(f, ids: np.ndarray, size: int = 1024) -> np.ndarray:
+    """f of ids [..., k], once for each distinct row and in slices, so that memory follows the result."""
+    rows, back = np.unique(ids.reshape(-1, ids.shape[-1]), axis=0, return_inverse=True)
+    made = np.concatenate([f(rows[i : i + size]) for i in range(0, len(rows), size)])
+    return made[back.reshape(-1)].reshape(*ids.shape[:-1], -1)
 
 
 class Crf:
@@ -138,7 +150,7 @@ def word_mean(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
 def token_emissions(b: dict, words: np.ndarray, chars: np.ndarray, feats: np.ndarray | None, lengths: np.ndarray) -> np.ndarray:
     """[MDL-3] word and character features (and the given ones) through a BiLSTM to tag scores. [MDL-4] without feats: tanh."""
     act = np.tanh if feats is None else (lambda x: np.maximum(x, 0))
-    parts = [b["word"][words], char_features(chars, b["char"], b["conv"], b["conv_bias"], act)]
+    parts = [b["word"][words], distinct_vectors(lambda c: char_features(c, b["char"], b["conv"], b["conv_bias"], act), chars)]
     if feats is not None:
         parts.append(np.maximum(feats @ b["feat"].T + b["feat_bias"], 0))
     h = both_ways(np.concatenate(parts, -1), lengths, lstm, b["forward"], b["backward"])
@@ -147,7 +159,8 @@ def token_emissions(b: dict, words: np.ndarray, chars: np.ndarray, feats: np.nda
 
 def line_emissions(b: dict, words: np.ndarray, chars: np.ndarray, feats: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """[MDL-5, MDL-6] mean word, two character convolutions and features through a BiLSTM or BiGRU to marker scores."""
-    parts = [word_mean(words, b["word"]), *(char_features(chars, b["char"], b[f"conv{k}"], b[f"conv{k}_bias"]) for k in (3, 5)), np.maximum(feats @ b["feat"].T + b["feat_bias"], 0)]
+    of = lambda k: lambda c: char_features(c, b["char"], b[f"conv{k}"], b[f"conv{k}_bias"])
+    parts = [distinct_vectors(lambda w: word_mean(w, b["word"]), words), *(distinct_vectors(of(k), chars) for k in (3, 5)), np.maximum(feats @ b["feat"].T + b["feat_bias"], 0)]
     cell = gru if b["forward"]["ih"].shape[0] == 3 * b["forward"]["hh"].shape[1] else lstm
     h = both_ways(np.concatenate(parts, -1), lengths, cell, b["forward"], b["backward"])
     return h @ b["out"].T + b["out_bias"]

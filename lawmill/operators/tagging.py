@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -32,7 +31,8 @@ def gazetteer(titles: DataFrame, title: str = "title", unicode_form: bool = True
     forms = [key] + [F.when(F.contains(key, F.lit(full)), F.replace(key, F.lit(full), F.lit(short))) for short, full in P.SHORT_NAMES.items()]
     made = titles.where(F.col(title).isNotNull()).select(F.explode(F.array_compact(F.array(*forms))).alias("k"))
     made = made.select(F.regexp_extract_all("k", F.lit(P.WORD), F.lit(0)).alias("w")).where(F.size("w") >= 2)
-    own = titles.sparkSession.createDataFrame([(x.split(),) for s, full in P.SHORT_NAMES.items() for x in (s, full)], "w array<string>")
+    names = F.array(*(F.split(F.lit(x), " ") for s, full in P.SHORT_NAMES.items() for x in (s, full)))
+    own = titles.sparkSession.range(0, 1, 1, 1).select(F.explode(names).alias("w"))
     every = made.unionByName(own).select(F.array_join("w", " ").alias("phrase"), F.size("w").alias("n"))
     return every.dropDuplicates(["phrase"])
 
@@ -63,13 +63,14 @@ def phrase_hits(rows: DataFrame, phrases: DataFrame, key: str, token: str = "tok
 
     N-grams are built for the lengths that occur in the dictionary only, and phrases are broadcast behind their count.
     """
-    sizes = sorted(r["n"] for r in phrases.select("n").distinct().collect())
+    counts = {r["n"]: r["count"] for r in phrases.groupBy("n").count().collect()}
+    sizes = sorted(counts)
     w = Window.partitionBy(key).orderBy("pos")
     longest = max(sizes, default=1)
     ahead = rows.select(key, "pos", F.col(token).alias("__0"), *(F.lead(token, i).over(w).alias(f"__{i}") for i in range(1, longest)))
     grams = [F.when(F.col(f"__{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *(f"__{i}" for i in range(n))).alias("phrase"))) for n in sizes]
     wide = ahead.select(key, "pos", F.explode(F.array(*grams)).alias("g")).where("g is not null") if grams else ahead.select(key, "pos", F.lit(None).cast("struct<n:int,phrase:string>").alias("g")).limit(0)
-    small = F.broadcast(phrases) if phrases.count() <= 200_000 else phrases
+    small = F.broadcast(phrases) if sum(counts.values()) <= 200_000 else phrases
     hits = wide.select(key, "pos", "g.n", "g.phrase").join(small, ["n", "phrase"], "left_semi")
     spots = hits.select(key, F.posexplode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("i", "pos"))
     return spots.groupBy(key, "pos").agg(F.max(F.when(F.col("i") == 0, 1).otherwise(0)).alias("begin"), F.lit(1).alias("inside"))
@@ -142,7 +143,7 @@ def article_places(clean: list[str], article: str) -> list[list[int]]:
 
 
 _CLEAN = ".,;:()[]{}“”\"'`"
-_TOKENS = re.compile(r"\w+|[^\w\s]")
+_TOKENS = regex.compile(P.TOKEN)
 
 
 def tag(text: str, laws: list[tuple[str, str]], articles: list[str], fallback: tuple[int, int] | None) -> list[str]:

@@ -70,10 +70,11 @@ def composed_lines(spark, sf_dir):
     return rows.select("doc_id", F.size("l").cast("long").alias("n"), F.md5(F.array_join("l", "\n").cast("binary")).alias("digest"))
 
 
+_S = r"[\s\x0b\x85\p{Z}]"
 _SNIPPET_TEXT = "'Theo Điều ' || doc_id || ' và các khoản 2 ' || text"
 
 
-@query(rf"SELECT doc_id::VARCHAR AS pdf_path, unnest(regexp_extract_all({_SNIPPET_TEXT}, '(?:các )?(?:Điều|khoản|điểm) \p{{Nd}}+[^.]*\.', 0)) AS snippet FROM documents")
+@query(rf"SELECT doc_id::VARCHAR AS pdf_path, unnest(regexp_extract_all({_SNIPPET_TEXT}, '(?i)(?:các{_S}+)?(?:Điều|khoản|điểm){_S}+(?:\p{{Nd}}|,|{_S})+(?:và{_S}+(?:\p{{Nd}}|,|{_S})+)?[^.]*\.', 0)) AS snippet FROM documents")
 def snippet_inference(spark, sf_dir):
     """SRC-10, SCL-18: scanned texts in Parquet to snippets, which may run over line ends"""
     made = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("pdf_path"), F.concat(F.lit("Theo Điều "), F.col("doc_id").cast("string"), F.lit(" và các khoản 2 "), "text").alias("ocr_text"))
