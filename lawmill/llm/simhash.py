@@ -35,6 +35,9 @@ _BLOCK = 1024
 _PACK = 4096
 #: Fingerprints in a block of a tile, its own or its visitors'.
 _LARGE = 1 << 17
+#: About the bytes of a record batch of packs, and those of a row beside its pack.
+_BATCH_BYTES = 4 << 20
+_ROW_BYTES = 24
 
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -118,28 +121,47 @@ def spread(radius: int, shared):
             for i in range(0, len(mine), _PACK):
                 yield k, mine[i : i + _PACK].tobytes()
 
-    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def dealt(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool, bytes]]:
+        """Packs and where they go: (tiles, blocks, own, pack)."""
         owns, visits = shared.value
-        fp = np.concatenate(held)
         quarters = tile_of(fp)
         tile = quarters @ _PLACES
         order = np.argsort(tile, kind="stable")
         fp, quarters, tile = fp[order], quarters[order], tile[order]
-        cuts = np.flatnonzero(np.diff(tile)) + 1
-        out: list[tuple[int, int, bool, bytes]] = []
-        for at in np.split(np.arange(len(fp)), cuts):
-            own = int(tile[at[0]])
-            for k, blob in packs(fp[at], int(owns[own]), 40):
-                out += [(own, k * int(visits[own]) + v, True, blob) for v in range(int(visits[own]))]
-            to = quarters[at[0]] + steps
-            made: dict[int, list] = {}
-            for there in (to[((to >= 0) & (to <= 16)).all(1)] @ _PLACES).tolist():
-                n, m = int(owns[there]), int(visits[there])
-                if m not in made:
-                    made[m] = list(packs(fp[at], m, 20))
-                out += [(there, k * m + v, False, blob) for v, blob in made[m] for k in range(n)]
-        tiles, blocks, marks, blobs = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(tiles, pa.int64()), pa.array(blocks, pa.int64()), pa.array(marks), pa.array(blobs, pa.binary())], ["tile", "block", "own", "pack"])
+        edges = np.flatnonzero(np.diff(tile, prepend=-1, append=-1)).tolist()
+        for low, high in zip(edges, edges[1:], strict=False):
+            mine, own = fp[low:high], int(tile[low])
+            m = int(visits[own])
+            for k, blob in packs(mine, int(owns[own]), 40):
+                yield np.full(m, own), k * m + np.arange(m), True, blob
+            to = quarters[low] + steps
+            to = to[((to >= 0) & (to <= 16)).all(1)] @ _PLACES
+            for m in np.unique(visits[to]).tolist():
+                there = to[visits[to] == m]
+                n = owns[there]
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                for v, blob in packs(mine, m, 20):
+                    yield np.repeat(there, n), block * m + v, False, blob
+
+    def rows(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Record batches of about _BATCH_BYTES each, however many tiles and blocks a pack goes to."""
+        parts, size = [], 0
+        for tiles, blocks, own, blob in dealt(np.concatenate(held)):
+            most = max(1, _BATCH_BYTES // (len(blob) + _ROW_BYTES))
+            for i in range(0, len(tiles), most):
+                parts.append((tiles[i : i + most], blocks[i : i + most], own, blob))
+                size += len(parts[-1][0]) * (len(blob) + _ROW_BYTES)
+                if size >= _BATCH_BYTES:
+                    yield batch_of(parts)
+                    parts, size = [], 0
+        if parts:
+            yield batch_of(parts)
+
+    def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+        tiles, blocks, marks, blobs = zip(*parts, strict=True)
+        n = [len(t) for t in tiles]
+        pack = pa.array(blobs, pa.binary()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles)), pa.array(np.concatenate(blocks)), pa.array(np.repeat(marks, n)), pack], ["tile", "block", "own", "pack"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -190,7 +212,8 @@ def compare(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            for tile, block, own, pack in zip(*(batch.column(c).to_pylist() for c in ("tile", "block", "own", "pack")), strict=True):
+            keys = (batch.column(c).to_pylist() for c in ("tile", "block", "own"))
+            for tile, block, own, pack in zip(*keys, (x.as_py() for x in batch.column("pack")), strict=True):
                 if (tile, block) != now:
                     if packs:
                         yield out()
