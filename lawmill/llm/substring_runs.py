@@ -2,11 +2,15 @@
 
 Which of a text's 50-word windows also start in a document with a smaller doc_id? Every window has an anchor: the least
 of the hashes of the 25-word sequences in it. Equal windows have equal anchors, and a text has about one anchor for thirteen words,
-so anchors alone are indexed: each batch's (anchor, document) pairs become a sorted immutable run. A new batch is
-merge-joined with the runs before it; only documents that share an anchor are candidates, their windows under shared
-anchors are verified by 96 bits of hashes of all fifty words, and runs are compacted into one when there are more than
-`most_runs` of them. Batches are taken in ascending doc_id order, so what a batch meets in the index is what precedes
-it; a store that is kept (`Index`) dedups further batches without reading the old texts that share nothing.
+so anchors alone are indexed: each batch's (anchor, document) pairs become a sorted immutable run, cut into buckets of
+anchors. A new batch is merge-joined with the runs before it bucket by bucket: the batch's distinct anchors are dealt
+into the buckets, the runs are read where they lie and never shuffled. An anchor of many documents lies in several
+buckets, by a salt that the run's small table of such anchors gives. Only documents that share an anchor are candidates,
+their windows under shared anchors are verified by 96 bits of hashes of all fifty words, and runs are compacted into one
+when there are more than `most_runs` of them. Batches are taken in ascending doc_id order, so what a batch meets in the
+index is what precedes it; a store that is kept (`Index`) dedups further batches without reading the old texts that
+share nothing. `dedup` takes its table in several batches and verifies the candidates of all of them at once, so each
+text is fetched once at most.
 
 Texts that are equal as a whole are one unit, represented by its smallest doc_id; the others lose every word if they
 have a window at all.
@@ -15,7 +19,8 @@ have a window at all.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 from lawmill.llm.common import HashedWords, fresh_path, materialize, table, union_all
 
 WINDOW = 50
-BATCHES = 2
-MOST_RUNS = 4
+BATCHES = 4
+MOST_RUNS = 2
+#: Rows of one anchor in a bucket of a run: an anchor of more has several salts.
+_HOT = 1 << 16
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _WORDS: list[HashedWords] = []
 
@@ -134,49 +141,83 @@ def cut(window: int):
 
 
 class Index:
-    """Immutable runs (anchor, unit, doc) in the shared folder, each sorted by anchor."""
+    """Immutable runs (anchor, salt, unit, doc) in the shared folder, each in buckets of (anchor, salt) and sorted in them.
+
+    hot[i] has the anchors of runs[i] with more than one salt: (anchor, top), their greatest.
+    """
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, most_runs: int = MOST_RUNS):
-        self.spark, self.path, self.window, self.most_runs, self.runs, self.turn = spark, path, window, most_runs, [], 0
+        self.spark, self.path, self.window, self.most_runs, self.runs, self.hot, self.turn = spark, path, window, most_runs, [], [], 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _write(self, rows: DataFrame) -> DataFrame:
+    def _write(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         self.turn += 1
-        at = f"{self.path}/run-{self.turn:05d}"
-        rows.repartition("anchor").sortWithinPartitions("anchor").write.parquet(at)
-        return self.spark.read.schema("anchor long, unit long, doc long").parquet(at)
+        many = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _HOT)
+        hot = materialize(many.select("anchor", F.floor(F.col("n") / _HOT).cast("int").alias("top")), "runs-hot")
+        salt = F.when(F.col("top").isNull(), 0).otherwise(F.pmod(F.xxhash64("unit"), F.col("top") + 1)).cast("int")
+        salted = rows.join(hot, "anchor", "left").select("anchor", salt.alias("salt"), "unit", "doc")
+        name, at = f"lawmill_run_{uuid.uuid4().hex}", f"{self.path}/run-{self.turn:05d}"
+        # dealt like the buckets, so that a bucket is one file
+        dealt = salted.repartition(self.buckets, "anchor", "salt")
+        dealt.write.bucketBy(self.buckets, "anchor", "salt").sortBy("anchor", "salt").option("path", at).saveAsTable(name)
+        return self.spark.table(name), hot
 
     def append(self, rows: DataFrame) -> DataFrame:
         """Add a batch as a run of its own."""
-        self.runs.append(self._write(rows.select("anchor", "unit", "doc")))
-        return self.runs[-1]
+        run, hot = self._write(rows.select("anchor", "unit", "doc"))
+        self.runs.append(run)
+        self.hot.append(hot)
+        return run
 
     def compact(self) -> None:
         """Merge all runs into one if there are more than most_runs; old runs stay readable for those who read them."""
         if len(self.runs) > self.most_runs:
-            self.runs = [self._write(union_all(self.runs))]
+            run, hot = self._write(union_all(self.runs).select("anchor", "unit", "doc"))
+            self.runs, self.hot = [run], [hot]
+
+    @staticmethod
+    def under(run: DataFrame, hot: DataFrame, wanted: DataFrame) -> DataFrame:
+        """A run's rows under wanted(anchor), by a merge-join that reads the run in its buckets."""
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce("top", F.lit(0)))).alias("salt")
+        probe = wanted.join(hot, "anchor", "left").select("anchor", salts)
+        return run.hint("merge").join(probe, ["anchor", "salt"], "left_semi").select("anchor", "unit", "doc")
+
+    def meet(self, batch: DataFrame) -> DataFrame:
+        """Add batch(anchor, unit, doc) as a run and return (anchor, unit, doc, new): all rows under anchors that it shares."""
+        before = list(zip(self.runs, self.hot, strict=True))
+        run = self.append(batch)
+        mine = materialize(run.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")), "runs-mine")
+        shared, old = mine.where("n > 1").select("anchor"), None
+        if before:
+            old = materialize(union_all([self.under(*b, mine.select("anchor")) for b in before]), "runs-old")
+            shared = shared.union(old.select("anchor")).distinct()
+        new = self.under(run, self.hot[-1], shared).withColumn("new", F.lit(True))
+        out = materialize(new if old is None else new.unionByName(old.withColumn("new", F.lit(False))), "runs-met")
+        self.compact()
+        return out
 
     def remove(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
         """Add batch(anchor, unit, doc) and return (unit, n_removed, sha) of its units that lose words.
 
-        texts(doc, key, raw, unit) has the text of each unit, old and new, once or more.
+        texts(unit, raw) has the text of each unit, old and new, once or more.
         """
-        old = list(self.runs)
-        new = self.append(batch)
-        both = union_all([new.withColumn("new", F.lit(True)), *(r.withColumn("new", F.lit(False)) for r in old)])
-        seen = both.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("any_new"))
-        shared = materialize(seen.where("n > 1 and any_new").select("anchor"), "runs-shared")
-        found = both.hint("merge").join(shared, "anchor", "left_semi")
-        units = materialize(found.groupBy("unit", "doc", "new").agg(F.collect_list("anchor").alias("shared")), "runs-units")
-        cands = materialize(units.join(texts, ["unit"]).select("unit", units["doc"], "new", "shared", "raw").dropDuplicates(["unit"]), "runs-texts")
-        rows = materialize(cands.select("unit", "doc", "new", "shared", "raw").mapInArrow(windows(self.window), "w long, x int, unit long, doc long, new boolean, at int"), "runs-windows")
-        least = rows.groupBy("w", "x").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-        least = materialize(least.select("w", "x", "least"), "runs-least")
-        late = rows.where("new").join(least, ["w", "x"]).where("doc > least")
-        starts = late.groupBy("unit").agg(F.collect_list("at").alias("starts"))  # at most a text's windows
-        kept = cands.where("new").select("unit", "raw").join(starts, "unit").select("unit", "starts", "raw")
-        out = materialize(kept.mapInArrow(cut(self.window), "unit long, n_removed long, sha string"), "runs-cut")
-        self.compact()
-        return out
+        return verify(self.meet(batch), lambda units: units.join(texts, "unit").dropDuplicates(["unit"]), self.window)
+
+
+def verify(met: DataFrame, fetch: Callable[[DataFrame], DataFrame], window: int = WINDOW) -> DataFrame:
+    """(unit, n_removed, sha) of the new units of met(anchor, unit, doc, new) that lose words.
+
+    A unit is new where any of its rows is. fetch adds raw, the text, to rows (unit, doc, new, shared).
+    """
+    units = met.groupBy("unit", "doc").agg(F.max("new").alias("new"), F.collect_set("anchor").alias("shared"))  # at most a text's anchors
+    cands = materialize(fetch(materialize(units, "runs-units")).select("unit", "doc", "new", "shared", "raw"), "runs-texts")
+    rows = materialize(cands.mapInArrow(windows(window), "w long, x int, unit long, doc long, new boolean, at int"), "runs-windows")
+    least = rows.groupBy("w", "x").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    least = materialize(least.select("w", "x", "least"), "runs-least")
+    late = rows.where("new").join(least, ["w", "x"]).where("doc > least")
+    starts = late.groupBy("unit").agg(F.collect_list("at").alias("starts"))  # at most a text's windows
+    kept = cands.where("new").select("unit", "raw").join(starts, "unit").select("unit", "starts", "raw")
+    return materialize(kept.mapInArrow(cut(window), "unit long, n_removed long, sha string"), "runs-cut")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
@@ -192,7 +233,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Data
     units = materialize(firsts.withColumn("unit", F.monotonically_increasing_id()), "runs-firsts")
     marks = meta.select("doc_id", "key", F.explode("anchors").alias("anchor")).join(units, "key").where("doc_id = doc")
     marks = materialize(marks.select("anchor", "unit", "doc").distinct(), "runs-anchors")
-    texts = raw.join(units.select("key", "unit", F.col("doc").alias("doc_id")), ["key", "doc_id"]).select("unit", "raw")
+
+    def fetch(cands: DataFrame) -> DataFrame:
+        """One row of each unit's first document; the texts meet the candidates by id, and no others move on."""
+        wanted = cands.join(units.select("unit", "key"), "unit").withColumn("doc_id", F.col("doc"))
+        return wanted.join(raw, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+
     cuts = units.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(c) for c in cuts}), None]
     index, parts = Index(spark, fresh_path(spark, "runs"), window), []
@@ -202,8 +248,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Data
             inside &= F.col("doc") > low
         if high is not None:
             inside &= F.col("doc") <= high
-        parts.append(index.remove(marks.where(inside), texts))
-    lost = union_all(parts)
+        parts.append(index.meet(marks.where(inside)))
+    lost = verify(union_all(parts), fetch, window)
     named = units.join(lost, "unit", "left").select("key", "doc", "n_removed", "sha")
     named = materialize(named.withColumnRenamed("sha", "cut_sha"), "runs-named")
     out = meta.drop("anchors").join(named, "key", "left")
