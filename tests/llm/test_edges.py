@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lawmill.llm import registry
 
-PER_DOCUMENT = [n for n in registry.QUERIES if not n.startswith(("op3_", "op10_"))]
+PER_DOCUMENT = [n for n in registry.QUERIES if not n.startswith(("op3_", "op10_", "op12_"))]
 
 
 def labels(spark):
