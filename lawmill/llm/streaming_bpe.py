@@ -26,6 +26,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,9 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawmill.llm.common import table
+from lawmill.llm.token_bins import Kept
 
-#: Symbols of a word that are encoded at once beyond the lookahead; words kept, and the longest kept.
-CHUNK, _MOST_WORDS, _LONGEST = 4096, 200_000, 48
+#: Symbols of a word that are encoded at once beyond the lookahead; words, and pieces of words, kept in each of two generations.
+CHUNK, _MOST_KEPT = 4096, 150_000
 #: Characters of a text that are cut into words at once; ids that are decoded at once; bytes of a batch.
 _PART, _IDS, _BATCH = 500_000, 65_536, 2_000_000
 #: White space as Unicode has it (the interpreter's own notion has four more).
@@ -59,7 +61,10 @@ class Merges:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        self.wide = 1 + max(vocab.values(), default=0)
+        #: rank by pair (left * wide + right), and the token that each rank makes
+        self.rank: dict[int, int] = {}
+        self.makes: list[int] = []
         made: set[int] = set()
         for rank, (a, b) in enumerate(merges):
             out = vocab[a + b]
@@ -67,7 +72,8 @@ class Merges:
             if out in made or early:
                 raise ValueError(f"merge {rank} makes a token again or uses one before it is made")
             made.add(out)
-            self.rules[vocab[a], vocab[b]] = rank, out
+            self.rank[vocab[a] * self.wide + vocab[b]] = rank
+            self.makes.append(out)
         self.lookahead = self.sufficient(merges)
 
     def bare(self, token: str) -> str:
@@ -86,34 +92,38 @@ class Merges:
 
     def encode(self, symbols: list[int]) -> list[int]:
         """All merges of a sequence of symbols."""
-        return self._scan(symbols) if len(symbols) <= 24 else self._heap(symbols)
-
-    def _scan(self, ids: list[int]) -> list[int]:
-        ids, rules, none = list(ids), self.rules, (1 << 60, 0)
-        while len(ids) > 1:
-            (rank, made), at = min((rules.get((ids[i], ids[i + 1]), none), i) for i in range(len(ids) - 1))
-            if rank == none[0]:
-                break
+        return self._scan(symbols) if len(symbols) <= 40 else self._heap(symbols)
+
+    def _scan(self, symbols: list[int]) -> list[int]:
+        ids, wide, get, none = list(symbols), self.wide, self.rank.get, len(self.makes)
+        ranks = [get(a * wide + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
+            at = ranks.index(low)
+            made = self.makes[low]
             ids[at : at + 2] = [made]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(made * wide + ids[at + 1], none)
+            if at:
+                ranks[at - 1] = get(ids[at - 1] * wide + made, none)
         return ids
 
-    def _heap(self, ids: list[int]) -> list[int]:
-        ids, n, rules = list(ids), len(ids), self.rules
+    def _heap(self, symbols: list[int]) -> list[int]:
+        ids, n, wide, get = list(symbols), len(symbols), self.wide, self.rank.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        todo = [(*rules[pair], i) for i in range(n - 1) if (pair := (ids[i], ids[i + 1])) in rules]
-        todo = [(rank, i, made) for rank, made, i in todo]
+        todo = [(rank, i) for i in range(n - 1) if (rank := get(ids[i] * wide + ids[i + 1])) is not None]
         heapq.heapify(todo)
         while todo:
-            rank, i, made = heapq.heappop(todo)
+            rank, i = heapq.heappop(todo)
             j = after[i]
-            if ids[i] < 0 or j >= n or rules.get((ids[i], ids[j])) != (rank, made):
+            if ids[i] < 0 or j >= n or get(ids[i] * wide + ids[j]) != rank:
                 continue
-            ids[i], ids[j], after[i] = made, -1, after[j]
+            ids[i], ids[j], after[i] = self.makes[rank], -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (rule := rules.get((ids[a], ids[b]))):
-                    heapq.heappush(todo, (rule[0], a, rule[1]))
+                if a >= 0 and b < n and (rank := get(ids[a] * wide + ids[b])) is not None:
+                    heapq.heappush(todo, (rank, a))
         return [x for x in ids if x >= 0]
 
 
@@ -148,22 +158,6 @@ class Transducer:
         return out
 
 
-class Words(dict):
-    """word -> its ids as bytes, made where they lack; emptied when it holds `most`, so its size does not follow the data."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.fromiter(self.make(word), np.uint32).tobytes()
-        if len(word) <= _LONGEST:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Codec:
     """The tokenizer of a file as streams of ids and of text.
 
@@ -171,7 +165,7 @@ class Codec:
     all Unicode versions agree on go through the library's own normal form and pattern; merges are always made here.
     """
 
-    def __init__(self, path: str, chunk: int = CHUNK, most: int = _MOST_WORDS):
+    def __init__(self, path: str, chunk: int = CHUNK, most: int = _MOST_KEPT):
         import regex
         from tokenizers import Tokenizer
 
@@ -201,31 +195,27 @@ class Codec:
         self.young = re.compile(r"[^\0-\u052F]").search
         self.white = re.compile(f"[{_WHITE}]+").split
         self.gap = re.compile(f"[{_WHITE}]").search
-        self.kept = Words(self.word, most)
+        self.kept, self.known = Kept(self.word, most), Kept(self.piece, most)
 
-    def word(self, word: str) -> Iterator[int]:
+    def word(self, word: str) -> bytes:
         """The ids of what stands between white space."""
         if self.young(word) or self.odd(word):
-            plain = None
-        elif word.isascii():
-            plain = word.lower()
-        else:
-            plain = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-        if plain is None:
             normal = self.library.normalizer.normalize_str(word)
-            for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal):
-                yield from self.piece(bytes(self.byte[x] for x in piece))
+            found = [bytes(self.byte[x] for x in piece).decode() for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         else:
-            for piece in self.pieces(plain):
-                yield from self.piece(piece.encode())
+            plain = word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+            found = [plain] if plain.isalpha() else self.pieces(plain)
+        return b"".join(map(self.known.__getitem__, found))
 
-    def piece(self, data: bytes) -> Iterator[int]:
+    def piece(self, piece: str) -> bytes:
+        """The ids of a run of letters, a digit or a run of marks."""
+        data = piece.encode()
         if len(data) <= self.chunk:
-            yield from self.merges.encode([*map(self.middle.__getitem__, data[:-1]), self.final[data[-1]]])
-            return
-        stream = Transducer(self.merges, self.lengths, self.chunk)
-        yield from stream.feed(map(self.middle.__getitem__, data[:-1]))
-        yield from stream.end([self.final[data[-1]]])
+            ids = self.merges.encode([*map(self.middle.__getitem__, data[:-1]), self.final[data[-1]]])
+        else:
+            stream = Transducer(self.merges, self.lengths, self.chunk)
+            ids = [*stream.feed(map(self.middle.__getitem__, data[:-1])), *stream.end([self.final[data[-1]]])]
+        return array("I", ids).tobytes()
 
     def parts(self, text: str) -> Iterator[str]:
         """A very long text in parts that end at white space."""
@@ -300,13 +290,28 @@ def _sent(rows: Iterator[tuple], kinds: dict[str, pa.DataType], sizes) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
+def _encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            yield doc_id.as_py(), np.concatenate([*codec.encode(text.as_py()), np.empty(0, np.uint32)]).astype(np.int32)
+
+
+def _decoded(codec: Codec, rows: Iterable[tuple]) -> Iterator[tuple]:
+    for doc_id, ids in rows:
+        machine = codec.decoder()
+        said = [machine.feed(ids[k : k + _IDS].tolist()) for k in range(0, len(ids), _IDS)]
+        yield doc_id, ids, "".join([*said, machine.end()])
+
+
+_IDS_ROW = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}
+_TEXT_ROW = _IDS_ROW | {"text": pa.string()}
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of docs(doc_id, text); no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
-        made = ((i.as_py(), np.concatenate([*codec.encode(t.as_py()), np.empty(0, np.uint32)]).astype(np.int32)) for b in batches for i, t in zip(b.column(0), b.column(1), strict=True))
-        yield from _sent(made, {"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}, lambda r: 4 * len(r[1]) + 8)
+        yield from _sent(_encoded(_codec(path), batches), _IDS_ROW, lambda r: 4 * len(r[1]))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -315,23 +320,26 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text) of rows(doc_id, ids): the text that the ids stand for, special tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
+        given = ((i.as_py(), x.values.to_numpy()) for b in batches for i, x in zip(b.column(0), b.column(1), strict=True))
+        yield from _sent(_decoded(_codec(path), given), _TEXT_ROW, lambda r: 4 * len(r[1]) + len(r[2]))
 
-        def said(ids: np.ndarray) -> str:
-            machine = codec.decoder()
-            return "".join([machine.feed(ids[k : k + _IDS].tolist()) for k in range(0, len(ids), _IDS)] + [machine.end()])
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
-        made = ((i.as_py(), ids, said(ids)) for b in batches for i, x in zip(b.column(0), b.column(1), strict=True) for ids in [x.values.to_numpy()])
-        yield from _sent(made, {"doc_id": pa.int64(), "ids": pa.list_(pa.int32()), "text": pa.string()}, lambda r: 4 * len(r[1]) + len(r[2]))
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+def transcode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text): decode(encode(docs)) in one worker, whose ids never travel in between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(path)
+        yield from _sent(_decoded(codec, _encoded(codec, batches)), _TEXT_ROW, lambda r: 4 * len(r[1]) + len(r[2]))
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    rows = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    rows = transcode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("text")).alias("decoded_sha256"))
