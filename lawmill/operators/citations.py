@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from lawmill.functions import patterns as P
 from lawmill.functions import text as T
+from lawmill.operators.title_match import best_title
 
-#: Titles are broadcast up to this many words in all; beyond it the join on words shuffles both sides.
-MOST_BROADCAST = 2_000_000
 #: Characters of terms that one automaton holds.
 TERM_CHARS = 4_000_000
 
@@ -47,23 +46,6 @@ def explode_laws(cited: DataFrame, entry: str = "entry_index") -> DataFrame:
     return cited.join(numbered(cited.select("file_name").distinct(), ["file_name"], entry), "file_name").select("file_name", entry, F.posexplode("laws_cited").alias("law_index", "input"))
 
 
-def best_title(laws: DataFrame, titles: DataFrame, key: str, law: str = "law", title: str = "title") -> DataFrame:
-    """[JON-1, AGG-15] (key, best_f1): the largest word-set F1 of any title, 0.0 if no word is shared.
-
-    An inverted index takes the place of all pairs: distinct words meet in an equi-join, and the words of one law stand
-    in one task, so counting its common words with each title is done before anything moves.
-    """
-    mine = laws.select(key, F.array_distinct(T.words(T.safe_text(F.col(law)))).alias("w"))
-    theirs = titles.where(F.col(title).isNotNull()).select(F.monotonically_increasing_id().alias("t"), F.array_distinct(T.words(F.col(title))).alias("tw"))
-    index = theirs.select("t", F.size("tw").alias("tn"), F.explode("tw").alias("word"))
-    if (titles.select(F.sum(F.length(title))).first()[0] or 0) <= MOST_BROADCAST * 8:
-        index = F.broadcast(index)
-    pairs = mine.select(key, F.size("w").alias("n"), F.explode("w").alias("word")).join(index, "word")
-    shared = pairs.groupBy(key, "t").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("tn").alias("tn"))
-    best = shared.groupBy(key).agg(F.max(T.law_f1(F.col("c"), F.col("n"), F.col("tn"))).alias("best_f1"))
-    return mine.select(key).join(best, key, "left").select(key, F.coalesce("best_f1", F.lit(0.0)).alias("best_f1"))
-
-
 def split_valid(scored: DataFrame, threshold: float = 0.4) -> tuple[DataFrame, DataFrame]:
     """[SEM-2, FLT-4, SET-5] (valid, invalid) halves."""
     ok = F.col("best_f1") >= F.lit(threshold)
@@ -74,7 +56,7 @@ def validate(cited: DataFrame, titles: DataFrame, threshold: float = 0.4) -> Dat
     """[SEM-2] (file_name, valid, invalid): every file stays, empty lists included."""
     laws = cited.select("file_name", F.posexplode("laws_cited").alias("i", "law"))
     keyed = laws.withColumn("k", F.struct("file_name", "i"))
-    scored = keyed.join(best_title(keyed, titles, "k"), "k")
+    scored = keyed.join(best_title(keyed, titles, "k", least=threshold), "k")
     pick = lambda good: F.transform(F.array_sort(F.collect_list(F.when(good, F.struct("i", "law")))), lambda x: x["law"])
     ok = F.col("best_f1") >= F.lit(threshold)
     halves = scored.groupBy("file_name").agg(pick(ok).alias("valid"), pick(~ok).alias("invalid"))
