@@ -1,58 +1,92 @@
-"""A paged listing as a stream: the cursor (group, page) is the stream's offset, so a restart goes on where it stopped.
+"""A paged listing as a stream and as a table: the driver knows how many pages each group has, executors fetch them.
 
-The fetcher is named by its import path ("package.module:function"); it takes (group, page) and returns the links of that page, or
-none after the last. Groups are visited in order and excluded ones left out, so one unfinished group never hides the
-others.
+The site is named by the import path of its factory ("package.module:factory"), which takes the options and returns an object with
+`pages(group)`, a cheap question, and `links(group, page)`. Offsets are pages by group, so a restart goes on after the pages of the last
+finished batch. A partition is a run of pages of one group; it opens the site once, and a page that fails is asked for again
+after growing waits. A group that lists no pages gives no rows; excluded groups are left out; a group that shrinks gives nothing new.
 """
 
 from __future__ import annotations
 
 import importlib
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
-def load(path: str):
-    module, _, name = path.partition(":")
-    return getattr(importlib.import_module(module), name)
+def site_of(options: dict):
+    module, _, name = options["site"].partition(":")
+    return getattr(importlib.import_module(module), name)(dict(options))
 
 
-class ListingReader(SimpleDataSourceStreamReader):
-    """[SRC-15, STR-1, STR-4, FLT-9, SRT-10] Options: fetcher, groups and exclude (JSON lists), pages (at most, a batch), max_pages (a group)."""
+def again(call: Callable[[], list], attempts: int = 4, wait: float = 0.6, sleep: Callable[[float], None] = time.sleep) -> list:
+    """[STR-8] The result of a call that may fail, with doubling waits between attempts; the last failure is raised."""
+    for k in range(attempts):
+        try:
+            return call()
+        except Exception:  # any client's failure counts as an attempt
+            if k + 1 == attempts:
+                raise
+            sleep(wait * 2**k)
+    return []
+
+
+class PageRun(InputPartition):
+    def __init__(self, group: str, first: int, last: int):
+        self.group, self.first, self.last = group, first, last
+
+
+class Pages:
+    """What both readers share: options site, groups and exclude (JSON lists), pages (of a partition), max_pages (of a group), attempts, wait."""
 
     def __init__(self, options: dict):
-        self.fetcher = options["fetcher"]
+        self.options = {k: options[k] for k in options}
         skip = set(json.loads(options.get("exclude", "[]")))
         self.groups = [g for g in json.loads(options["groups"]) if g not in skip]
-        self.pages = int(options.get("pages", "10"))
-        self.most = int(options.get("max_pages", "1000000"))
+        self.run, self.most = int(options.get("pages", "10")), int(options.get("max_pages", "1000000"))
+        self.attempts, self.wait = int(options.get("attempts", "4")), float(options.get("wait", "0.6"))
+
+    def counts(self) -> dict[str, int]:
+        site = site_of(self.options)
+        return {g: min(self.most, again(lambda g=g: site.pages(g), self.attempts, self.wait)) for g in self.groups}
+
+    def runs(self, start: dict, end: dict) -> list[PageRun]:
+        return [PageRun(g, p, min(p + self.run - 1, end[g])) for g in self.groups for p in range(start.get(g, 0) + 1, end.get(g, 0) + 1, self.run)]
+
+    def read(self, partition: PageRun) -> Iterator[tuple]:
+        site = site_of(self.options)
+        for page in range(partition.first, partition.last + 1):
+            for link in sorted(set(again(lambda page=page: site.links(partition.group, page), self.attempts, self.wait))):
+                yield partition.group, page, link
+
+
+class ListingStream(Pages, DataSourceStreamReader):
+    """[SRC-15, STR-1, STR-4, FLT-9, SRT-10] Every micro-batch takes the pages that were added since the last."""
 
     def initialOffset(self) -> dict:
-        return {"group": 0, "page": 1}
+        return {}
+
+    def latestOffset(self) -> dict:
+        return self.counts()
 
-    def _walk(self, start: dict, end: dict | None) -> tuple[list[tuple], dict]:
-        fetch, rows, at = load(self.fetcher), [], dict(start)
-        for _ in range(self.pages if end is None else 1 << 60):
-            if at["group"] >= len(self.groups) or at == end:
-                break
-            group = self.groups[at["group"]]
-            links = fetch(group, at["page"]) if at["page"] <= self.most else []
-            rows += [(group, at["page"], link) for link in sorted(set(links))]
-            at = {"group": at["group"], "page": at["page"] + 1} if links else {"group": at["group"] + 1, "page": 1}
-        return rows, at
+    def partitions(self, start: dict, end: dict) -> list[PageRun]:
+        return self.runs(start, end)
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, at = self._walk(start, None)
-        return iter(rows), at
+    def commit(self, end: dict) -> None:
+        pass
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._walk(start, end)[0])
+
+class ListingTable(Pages, DataSourceReader):
+    """[SRC-15] All pages as a table."""
+
+    def partitions(self) -> list[PageRun]:
+        return self.runs({}, self.counts())
 
 
 class Listing(DataSource):
-    """spark.dataSource.register(Listing); spark.readStream.format("listing").option(…).load()"""
+    """spark.dataSource.register(Listing); spark.readStream.format("listing").option(…).load(), or spark.read"""
 
     @classmethod
     def name(cls) -> str:
@@ -61,5 +95,26 @@ class Listing(DataSource):
     def schema(self) -> str:
         return "court_value string, page int, url string"
 
-    def simpleStreamReader(self, schema) -> ListingReader:
-        return ListingReader(self.options)
+    def streamReader(self, schema) -> ListingStream:
+        return ListingStream(self.options)
+
+    def reader(self, schema) -> ListingTable:
+        return ListingTable(self.options)
+
+
+class FolderSite:
+    """A site kept in a folder that every executor can read: <root>/<group>/<page>.json, each a list of links."""
+
+    def __init__(self, options: dict):
+        from pyarrow import fs
+
+        self.fs, self.root = fs.FileSystem.from_uri(options["root"])
+        self.selector = fs.FileSelector
+
+    def pages(self, group: str) -> int:
+        names = [f.base_name for f in self.fs.get_file_info(self.selector(f"{self.root}/{group}", allow_not_found=True))]
+        return max((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), default=0)
+
+    def links(self, group: str, page: int) -> list[str]:
+        with self.fs.open_input_stream(f"{self.root}/{group}/{page}.json") as f:
+            return json.loads(f.read())

@@ -137,9 +137,11 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
         task = TaskContext.get().taskAttemptId()
         for pdf in batches:
             for n, data in zip(pdf["name"], pdf["content"], strict=True):
-                with store.open_output_stream(f"{root}/.{n}.{task}") as f:
+                inner, _, own = f"{root}/{n}".rpartition("/")
+                store.create_dir(inner)
+                with store.open_output_stream(f"{inner}/.{own}.{task}") as f:
                     f.write(bytes(data))
-                store.move(f"{root}/.{n}.{task}", f"{root}/{n}")
+                store.move(f"{inner}/.{own}.{task}", f"{inner}/{own}")
             yield pd.DataFrame({"name": pdf["name"], "size": [len(x) for x in pdf["content"]]})
 
     rows = df.select(F.col(name).alias("name"), F.col(content).alias("content")).where("content is not null")

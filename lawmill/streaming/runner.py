@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from lawmill.operators import labels as L
-from lawmill.operators import ledger as G
+from lawmill.streaming.ledger_table import LedgerTable
 
 Labeller = Callable[[str], str]
 
@@ -58,35 +59,54 @@ def answered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__g", got).select(*rows.columns, "__g.*", *(rule[c].alias(f"rule_{c}") for c in ("label", "marker_type", "confidence", "reason")))
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, label: Callable[[DataFrame], DataFrame] = lambda df: df, progress: Callable[[int, int], None] | None = None):
-    """[STR-2, STR-3, STR-6, SNK-2, SNK-5] Start a query that labels what the ledger lacks and writes the next version of it.
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, label: Callable[[DataFrame], DataFrame] = lambda df: df, buckets: int = 64):
+    """[STR-2, STR-3, SNK-2, SNK-5] Start a query that labels what the ledger lacks and upserts it, bucket by bucket.
 
-    Versions are numbered by micro-batch, so one that runs again writes the same folder again; readers take the last.
-    Each batch joins the ledger once; no state is kept in the stream.
+    Rows answered before are not asked again, unless the answer was an error. `Ticks` on the session's listeners shows the progress.
     """
+    table = LedgerTable(stream.sparkSession, path, keys, order, buckets)
 
-    def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = read_ledger(spark, path, number)
-        todo = G.latest(batch, keys, order)
+    def step(rows: DataFrame, old: DataFrame | None) -> DataFrame:
         if old is not None:
-            todo = L.pending(todo, old, keys, ~F.coalesce(F.col("raw_response"), F.lit("")).startswith("ERROR:") if "raw_response" in old.columns else None)
-        made = label(todo)
-        full = made if old is None else G.upsert(old, made, keys, order)
-        full.write.mode("overwrite").parquet(f"{path}/version={number:09d}")
-        if progress:
-            progress(number, batch.count())
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The last version written (before a batch number), or None."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.parquet(f"{path}/version={max(done):09d}") if done else None
+            rows = L.pending(rows, old, keys, ~F.coalesce(F.col("raw_response"), F.lit("")).startswith("ERROR:") if "raw_response" in old.columns else None)
+        return label(rows)
+
+    counted = stream.observe(Ticks.METRIC, F.count(F.lit(1)).alias("rows"))
+    return counted.writeStream.foreachBatch(lambda batch, number: table.apply(batch, number, step)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger as of its last version, or None."""
+    return LedgerTable(spark, path, [], "").read()
+
+
+class Ticks(StreamingQueryListener):
+    """[STR-6, SNK-15] tick(rows so far) after each `every_rows` rows or `every_seconds` seconds, by what the batches were observed to read."""
+
+    METRIC = "ledger_rows"
+
+    def __init__(self, tick: Callable[[int], None], every_rows: int = 50, every_seconds: float = 180.0, clock: Callable[[], float] = time.monotonic):
+        self.tick, self.every_rows, self.every_seconds, self.clock = tick, every_rows, every_seconds, clock
+        self.rows = self.told = 0
+        self.at = clock()
+
+    def onQueryStarted(self, event) -> None:
+        self.at = self.clock()
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.METRIC)
+        self.add(seen["rows"] if seen else 0)
+
+    def add(self, rows: int) -> None:
+        self.rows += rows
+        if self.rows // self.every_rows > self.told // self.every_rows or self.clock() - self.at >= self.every_seconds:
+            self.told, self.at = self.rows, self.clock()
+            self.tick(self.rows)
+
+    def onQueryIdle(self, event) -> None:
+        self.add(0)
+
+    def onQueryTerminated(self, event) -> None:
+        if self.rows > self.told:
+            self.told = self.rows
+            self.tick(self.rows)

@@ -21,7 +21,6 @@ from lawmill.operators import links as K
 from lawmill.operators import models as M
 from lawmill.operators import sections as S
 from lawmill.operators import tagging as B
-from lawmill.sources import listing as Listing_
 from lawmill.sources import readers as R
 from lawmill.streaming import runner as U
 
@@ -344,25 +343,6 @@ def test_pdf_and_fetch(spark, tmp_path):
     assert R.fetch(spark.createDataFrame([("u",)], "url string"), lambda u: ("<p>", None)).first()["html"] == "<p>"
 
 
-def listing_page(group, page):
-    return [f"{group}/{page}/{k}" for k in (2, 1)] if page <= {"a": 2, "b": 1}.get(group, 9) else []
-
-
-def test_listing_goes_on_where_it_stopped():
-    reader = Listing_.ListingReader({"fetcher": f"{__name__}:listing_page", "groups": '["a", "x", "b"]', "exclude": '["x"]', "pages": "2"})
-    rows, at = reader.read(reader.initialOffset())
-    assert [r[2] for r in rows] == ["a/1/1", "a/1/2", "a/2/1", "a/2/2"] and at == {"group": 0, "page": 3}
-    more, end = reader.read(at)
-    assert [r[2] for r in more] == ["b/1/1", "b/1/2"] and list(reader.readBetweenOffsets(at, end)) == [("b", 1, "b/1/1"), ("b", 1, "b/1/2")]
-    assert reader.read({"group": 2, "page": 1})[1] == {"group": 2, "page": 1}
-
-
-def test_listing_stream(spark, tmp_path):
-    spark.dataSource.register(Listing_.Listing)
-    stream = spark.readStream.format("listing").option("fetcher", "lawmill_pages:links").option("groups", '["a"]').load()
-    assert stream.columns == ["court_value", "page", "url"] and stream.isStreaming
-
-
 def test_files_of_their_own(spark, tmp_path):
     df = spark.createDataFrame([("a.pdf", b"xy"), ("b.pdf", None)], "n string, c binary")
     assert [tuple(r) for r in R.write_files(df, str(tmp_path / "out"), "n", "c").collect()] == [("a.pdf", 2)]
