@@ -5,10 +5,8 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlparse, urlunparse
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 #: Fixed values of the listing site.
 ZONE, SEARCH_PAGE = "List_group_pub", "tra-cu-ban-an"
@@ -66,48 +64,85 @@ class Page(HTMLParser):
             self.select["options"][-1]["text"] += data
 
 
-def page_links(text: str | None, base: str) -> list[str]:
+def joined(base: str, href: str) -> str:
+    """The absolute address; what is no address stays as it is."""
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
+def page_links(text: str | Page | None, base: str) -> list[str]:
     """[PRS-7, FLT-10, SRT-3] Absolute links of the result zone, else of the page, sorted and distinct."""
-    page = Page(text or "")
+    page = parsed(text)
     links = [href for href, _, zone in page.links if zone or not page.has_zone]
-    return sorted({urljoin(base, h) for h in links if not h.startswith("javascript:") and SEARCH_PAGE not in h.lower()})
+    return sorted({joined(base, h) for h in links if not h.startswith("javascript:") and SEARCH_PAGE not in h.lower()})
+
+
+def parsed(text: str | Page | None) -> Page:
+    return text if isinstance(text, Page) else Page(text or "")
 
 
-def pdf_link(text: str | None, url: str, encode: bool = True) -> str | None:
+def pdf_link(text: str | Page | None, url: str, encode: bool = True) -> str | None:
     """[PRS-8, PRS-11] The first link to a .pdf or with a download mark, its path percent-encoded."""
-    for href, download, _ in Page(text or "").links:
+    for href, download, _ in parsed(text).links:
         if href.lower().endswith(".pdf") or download:
-            p = urlparse(href)
-            return urljoin(url, urlunparse(p._replace(path=quote(p.path, safe="/"))) if encode else href)
+            try:
+                p = urlparse(href)
+            except ValueError:
+                return href
+            return joined(url, urlunparse(p._replace(path=quote(p.path, safe="/"))) if encode else href)
     return None
 
 
-def form_fields(text: str | None, url: str, form_id: str = "aspnetForm") -> tuple[dict[str, str], str]:
+def form_fields(text: str | Page | None, url: str, form_id: str = "aspnetForm") -> tuple[dict[str, str], str]:
     """[PRS-6] (fields, action) of the named form, else of the first: values, checked boxes, chosen or first options."""
-    forms = Page(text or "").forms
+    forms = parsed(text).forms
     form = next((f for f in forms if f["id"] == form_id), forms[0] if forms else {"action": "", "fields": {}, "chosen": {}})
     fields = dict(form["fields"])
     for name, select in form["chosen"].items():
         options = select["options"]
         fields[name] = next((o for o in options if o["selected"]), options[0])["value"] if options else ""
-    return {"__EVENTTARGET": "", "__EVENTARGUMENT": ""} | fields, urljoin(url, form["action"] or url)
+    return {"__EVENTTARGET": "", "__EVENTARGUMENT": ""} | fields, joined(url, form["action"] or url)
 
 
-def options(text: str | None, select: str, exclude: set[str] = frozenset()) -> list[tuple[str, str]]:
+def options(text: str | Page | None, select: str, exclude: set[str] = frozenset()) -> list[tuple[str, str]]:
     """[PRS-10, FLT-9] (value, text) of a select's options, without empty and excluded ones."""
-    found = Page(text or "").selects.get(select, {"options": []})["options"]
+    found = parsed(text).selects.get(select, {"options": []})["options"]
     pairs = [(o["value"].strip(), o["text"].strip()) for o in found]
     return [(v, t) for v, t in pairs if v and t and v not in exclude]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def links_udf(html: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([page_links(h, b) for h, b in zip(html, base, strict=True)])
+#: kind: "link" (value: absolute address), "pdf", "action", "field" (name, value), "option" (name of the select, value, text); place counts from 0 within a kind.
+ITEM = "kind string, name string, value string, text string, place int, in_zone boolean"
+
+
+@F.udtf(returnType=ITEM)
+class PageItems:
+    """[UDTF-1, PRS-6, PRS-7, PRS-8, PRS-10, PRS-11, FLT-9, FLT-10, SRT-3] What a crawl needs of a page, by one parse, as typed rows.
+
+    A null page is an empty one and a null address "": it has the two event fields and an action. A link that is no address stays as
+    it is. Long pages cost their length once.
+    """
+
+    def eval(self, html: str, url: str):
+        page, base = Page(html or ""), url or ""
+        for k, link in enumerate(page_links(page, base)):
+            yield "link", None, link, None, k, page.has_zone
+        if (pdf := pdf_link(page, base)) is not None:
+            yield "pdf", None, pdf, None, 0, None
+        fields, action = form_fields(page, base)
+        yield "action", None, action, None, 0, None
+        for k, (name, value) in enumerate(fields.items()):
+            yield "field", name, value, None, k, None
+        for select in page.selects:
+            for k, (value, text) in enumerate(options(page, select)):
+                yield "option", select, value, text, k, None
 
 
-@F.pandas_udf(StringType())
-def pdf_udf(html: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([pdf_link(h, u) for h, u in zip(html, url, strict=True)])
+def page_items(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """Each row of pages beside its items, by a lateral join."""
+    return pages.lateralJoin(PageItems(F.col(html).outer(), F.col(url).outer()))
 
 
 def plain_links(html: Column) -> Column:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from lawmill.functions import patterns as P
@@ -90,7 +87,8 @@ def features(docs: DataFrame, phrases: DataFrame, key: str, text: str = "text",
     rows = token_rows(docs, key, text).withColumn("clean", c)
     rows = near(rows, key, _UNITS, 3, "near_article_keyword", F.col("clean"))
     rows = near(rows, key, _LAW_WORDS, 4, "near_law_keyword", F.col("clean"))
-    keyed = rows.withColumn("norm", T.normalize_key(F.col("token"), unicode_form))
+    # the text is in normal form already, so its tokens need no second composition
+    keyed = rows.withColumn("norm", T.normalize_key(F.col("token"), False))
     hits = phrase_hits(keyed, phrases, key, "norm")
     rows = rows.join(hits, [key, "pos"], "left").join(marks, key)
     clean = F.col("clean")
@@ -108,105 +106,6 @@ def features(docs: DataFrame, phrases: DataFrame, key: str, text: str = "text",
     )
 
 
-# ---- tagging of a labelled snippet: short sequences, one vectorised call a batch -------------------------------------
-def substring_spans(text: str, forms: list[str]) -> list[tuple[int, int]]:
-    """[JON-9] All places of the forms in text, whatever the case, overlapping ones too."""
-    out, low = set(), text.lower()
-    for form in dict.fromkeys(f for x in forms for f in (x.strip(), x.strip().rstrip(".,;: ")) if f):
-        at = low.find(form.lower())
-        while at >= 0:
-            out.add((at, at + len(form)))
-            at = low.find(form.lower(), at + 1)
-    return sorted(out)
-
-
-def law_range(tokens: list[str], first: int, last: int) -> tuple[int, int] | None:
-    """[SEM-6, SRT-7] Of the four readings of a counted range, that with most law words, then the longest, then the first."""
-    words = [*_LAW_WORDS, *P.SHORT_NAMES]
-    best = None
-    for a, b in ((first, last), (first - 1, last - 1), (first, last - 1), (first - 1, last)):
-        if 0 <= a <= b < len(tokens):
-            said = " ".join(tokens[a : b + 1]).lower()
-            score = 2 * sum(w in said for w in words) + 0.01 * (b - a + 1)
-            if best is None or score > best[0]:
-                best = score, (a, b)
-    return best[1] if best else None
-
-
-def article_places(clean: list[str], article: str) -> list[list[int]]:
-    """[JON-10] Tokens equal to article after "điều", or with it among the eight before."""
-    out = []
-    for i, c in enumerate(clean):
-        if c == article and "điều" in clean[max(0, i - 8) : i]:
-            out.append([i - 1, i] if clean[i - 1] == "điều" else [i])
-    return out
-
-
-_CLEAN = ".,;:()[]{}“”\"'`"
-_TOKENS = regex.compile(P.TOKEN)
-
-
-def tag(text: str, laws: list[tuple[str, str]], articles: list[str], fallback: tuple[int, int] | None) -> list[str]:
-    """[SEM-5, SEM-7, SEM-8, SRT-8] BIO tags of a normalised text; laws: (normalised, as given).
-
-    Laws first, each at its longest hit; the counted range only if none was found; articles overwrite them.
-    """
-    spots = [m.span() for m in _TOKENS.finditer(text)]
-    words = [text[a:b] for a, b in spots]
-    tags = ["O"] * len(words)
-
-    def mark(at: list[int], label: str) -> None:
-        for k, i in enumerate(sorted(set(at))):
-            tags[i] = ("B-" if k == 0 else "I-") + label
-
-    done = False
-    for norm, given in laws:
-        hits = substring_spans(text, [norm]) or substring_spans(text, [given, norm])
-        if hits:
-            a, b = max(hits, key=lambda s: s[1] - s[0])
-            if at := [i for i, (s, e) in enumerate(spots) if e > a and s < b]:
-                mark(at, "LAW")
-                done = True
-    if not done and fallback and (r := law_range(words, *fallback)):
-        mark(list(range(r[0], r[1] + 1)), "LAW")
-    clean, used = [w.strip(_CLEAN).lower() for w in words], set()
-    for art in dict.fromkeys(a.strip() for a in articles if a and a.strip()):
-        for at in article_places(clean, art.strip(_CLEAN).lower()):
-            if tuple(at) not in used:
-                used.add(tuple(at))
-                mark(at, "ART")
-                break
-    return tags
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def tag_udf(text: pd.Series, norms: pd.Series, given: pd.Series, articles: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
-    rows = zip(text, norms, given, articles, first, last, strict=True)
-    return pd.Series([tag(t, list(zip(n, g, strict=True)), list(a), None if pd.isna(x) else (int(x), int(y))) for t, n, g, a, x, y in rows])
-
-
-def samples(entries: DataFrame, unicode_form: bool = True) -> DataFrame:
-    """[SEM-8, FLT-15] (file_name, entry_index, law_index, text, tokens, tags) of entries(input, output_raw, citations, …)."""
-    from lawmill.operators.labels import parse_first
-
-    cited = F.coalesce("citations", F.array().cast("array<struct<articles:array<string>,law:string>>"))
-    raw = F.coalesce("output_raw", F.lit(""))
-    rows = entries.where(F.coalesce("input", F.lit("")) != "").select(
-        "file_name", "entry_index", "law_index", T.normalize_legal(F.col("input"), "tagger", unicode_form).alias("text"),
-        F.transform(cited, lambda c: T.safe_text(c["law"])).alias("given"), F.flatten(F.transform(cited, lambda c: F.coalesce(c["articles"], F.array().cast("array<string>")))).alias("arts"), parse_first(raw).alias("first"),
-    )
-    laws = rows.withColumn("i", F.monotonically_increasing_id())
-    forms = laws.select("i", F.posexplode("given").alias("j", "g")).withColumn("n", T.normalize_legal(F.col("g"), "tagger", unicode_form))
-    forms = forms.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "n"))), lambda x: x["n"]).alias("norms")) if unicode_form else None
-    if forms is None:
-        rows = rows.withColumn("norms", F.transform("given", lambda g: T.normalize_legal(g, "tagger", False)))
-    else:
-        rows = laws.join(forms, "i", "left").withColumn("norms", F.coalesce("norms", F.array().cast("array<string>"))).drop("i")
-    rows = rows.withColumn("tokens", T.tokens(F.col("text"))).where(F.size("tokens") > 0)
-    tags = tag_udf("text", "norms", "given", F.concat("arts", "first.articles"), F.col("first.law.first"), F.col("first.law.last"))
-    return rows.select("file_name", "entry_index", "law_index", "text", "tokens", tags.alias("tags"))
-
-
 # ---- BIO sequences ------------------------------------------------------------------------------------------------
 def repair(rows: DataFrame, key: str, tag: str = "tag") -> DataFrame:
     """[WIN-7] I-x after anything but B-x or I-x becomes B-x. Repair never changes a label, so the raw tag before will do."""

@@ -455,15 +455,6 @@ def law_article_assembly(spark, sf_dir):
     return B.law_articles(rows, "doc").select("law_name", F.array_join("articles", ",").alias("articles"))
 
 
-@query(_golden([(0, "Căn", "O"), (1, "cứ", "O"), (2, "Điều", "B-ART"), (3, "174", "I-ART"), (4, "Bộ", "B-LAW"), (5, "luật", "I-LAW"), (6, "Hình", "I-LAW"), (7, "sự", "I-LAW"), (8, ".", "I-LAW")], "pos, token, tag"))
-def tag_samples(spark, sf_dir):
-    """SEM-5, SEM-7, SEM-8, JON-9, JON-10 (golden)"""
-    kind = "file_name string, entry_index int, law_index int, input string, output_raw string, citations array<struct<articles:array<string>,law:string>>"
-    entries = spark.createDataFrame([("a", 0, 0, "Căn cứ Điều 174 Bộ luật Hình sự.", "ART: 174 | LAW: 5-8", [(["174"], "Bộ luật Hình sự.")])], kind)
-    made = B.samples(entries).select(F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "z"))
-    return made.select("pos", "z.tokens", "z.tags").toDF("pos", "token", "tag")
-
-
 @query(_golden([("x", "O,B-LAW,I-LAW"), ("y", "B-ART"), ("z", "")], "k, tags"))
 def crf_decode(spark, sf_dir):
     """MDL-2, WIN-10: Viterbi in Arrow batches (golden)"""
