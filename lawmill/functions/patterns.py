@@ -56,7 +56,7 @@ CITATION = citation()
 SNIPPET = FLAGS + r"(?:các\s+)?(?:Điều|khoản|điểm)\s+[\p{Nd},\s]+(?:và\s+[\p{Nd},\s]+)?[^.]*\."
 #: Law words that a ';' before "của/thuộc/theo" may precede; case law only in the tagger's variant.
 LAW_START = r"(?:bộ\s+luật|luật|BLHS|BLDS|BLTTDS|BLTTHS|BLTTHC|nghị\s+quyết|nghị\s+định|thông\s+tư|pháp\s+lệnh)"
-LAW_START_TAGGER = LAW_START[:-1] + r"|án\s+lệ)"
+LAW_START_TAGGER = r"(?:bộ\s+luật|luật|BLHS|BLDS|BLTTDS|BLTTHS|BLTTHC|nghị\s+quyết|nghị\s+định|thông\s+tư|pháp\s+lệnh|án\s+lệ)"
 LAWYER = "luật sư"
 TRIAGE_WORDS = ["BLHS", "BLTTHS", "BLDS", "BLTTDS", "nghị quyết", "bộ luật"]
 SHORT_NAMES = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,23 +13,42 @@ from pyspark.sql.types import StringType
 from lawmill.functions import patterns as P
 
 
+#: Characters that are in NFC whatever stands beside them, with all precomposed Latin letters; a text of these alone is in NFC.
+COMPOSED = r"\x00-\u02FF\u1E00-\u1EFF\u2010-\u2027\u20AB\u20AC\uFEFF"
+
+
+def _odd(c: Column) -> Column:
+    """The text if it holds any other character, else null, which costs a Python function nothing."""
+    return F.when(c.rlike(f"[^{COMPOSED}]"), c)
+
+
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no such function."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def nfc(c: Column) -> Column:
+    """Unicode NFC; Spark has no such function. Only texts that may change go to Python."""
+    return F.coalesce(_nfc(_odd(c)), c)
+
+
+def _bare(x: str) -> str:
+    bare = "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
+    return unicodedata.normalize("NFC", bare).translate({0x111: "d", 0x110: "D"})
 
 
 @F.pandas_udf(StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    """[SCL-8] Letters without marks; đ and Đ become d and D."""
+def _strip_accents(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else _bare(x))
+
+
+#: Letters with marks in the composed ranges and what is left of each; made from the character database.
+_MARKED = [x for x in map(chr, [*range(0x00C0, 0x0300), *range(0x1E00, 0x1F00)]) if len(_bare(x)) == 1 and _bare(x) != x]
 
-    def plain(x: str | None) -> str | None:
-        if x is None or x.isascii():
-            return x
-        bare = "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c) != "Mn")
-        return unicodedata.normalize("NFC", bare).translate({0x111: "d", 0x110: "D"})
 
-    return text.map(plain)
+def strip_accents(c: Column) -> Column:
+    """[SCL-8] Letters without marks; đ and Đ become d and D. Texts of composed letters stay in the JVM."""
+    return F.coalesce(_strip_accents(_odd(c)), F.translate(c, "".join(_MARKED), "".join(map(_bare, _MARKED))))
 
 
 def strip(c: Column) -> Column:
@@ -109,21 +129,42 @@ def indexed(c: Column) -> Column:
     return F.array_join(F.transform(white_tokens(c), lambda t, i: F.concat((i + 1).cast("string"), F.lit("#"), t)), " ")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Elements that one fold of running sums goes over.
+_RUN = 128
+
+
+def running_sums(sizes: Column) -> Column:
+    """Inclusive running sums of an array of ints: folds over runs, then over the runs' totals, so no long array is copied at each step."""
+    none = F.array().cast("array<int>")
+    fold = lambda a: F.aggregate(a, none, lambda out, x: F.concat(out, F.array(x + F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0)))))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(_RUN)), lambda s: fold(F.slice(sizes, s + 1, _RUN)))
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0)))
+        # what stands before each run: totals moved on by one
+        return _let(fold(F.concat(F.array(F.lit(0)), totals)), lambda before: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda v: v + F.get(before, k)))))
+
+    return _let(runs, joined)
+
+
 def match_spans(c: Column, pattern: str) -> Column:
     """Half-open code point spans of all matches: array of (text, start, end).
 
-    The gaps of split() and the matches of regexp_extract_all() alternate, so their lengths give every offset.
+    The gaps of split() and the matches of regexp_extract_all() alternate, so running sums of their lengths give every offset.
     """
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(c, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), sizes.alias("size"), found.alias("text"))
-    empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
-    step = lambda s, p: F.struct(
-        F.concat(s["out"], F.array(F.struct(p["text"].alias("text"), (s["at"] + p["gap"]).alias("start"), (s["at"] + p["gap"] + p["size"]).alias("end")))).alias("out"),
-        (s["at"] + p["gap"] + p["size"]).alias("at"),
-    )
-    return F.aggregate(pairs, F.struct(empty.alias("out"), F.lit(0).alias("at")), step, lambda s: s["out"])
+
+    def spans(hits: Column) -> Column:
+        gaps = F.transform(F.split(c, pattern, -1), F.length)
+        ends = running_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), F.transform(hits, F.length), lambda g, n: g + n))
+        return F.zip_with(hits, ends, lambda h, e: F.struct(h.alias("text"), (e - F.length(h)).alias("start"), e.alias("end")))
+
+    return _let(found, spans)
 
 
 def escape_html(c: Column) -> Column:

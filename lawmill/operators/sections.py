@@ -58,11 +58,16 @@ def candidates(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LEGAL_
     hard = F.array(F.struct(F.lit("none").alias("m"), F.lit("hard_negative").alias("k"), F.lit(0.2).alias("s")))
     marked = with_context(rows, name).withColumn("c", hits)
     marked = marked.withColumn("c", F.when(F.size("c") > 0, F.col("c")).when(line.rlike(pack.hard), hard).otherwise(F.col("c")))
-    chosen = marked.where(F.size("c") > 0).withColumn("c", F.explode("c"))
-    free = marked.where(F.size("c") == 0).drop("c")
-    free = (shuffled if exact_seed else sampled)(free, name, negatives, seed)
-    free = free.withColumn("c", F.struct(F.lit("none").alias("m"), F.lit("random_negative").alias("k"), F.lit(0.0).alias("s")))
-    every = chosen.unionByName(free)
+    plain = F.array(F.struct(F.lit("none").alias("m"), F.lit("random_negative").alias("k"), F.lit(0.0).alias("s")))
+    if exact_seed:
+        free = shuffled(marked.where(F.size("c") == 0), name, negatives, seed).withColumn("c", plain)
+        kept = marked.where(F.size("c") > 0).unionByName(free)
+    else:
+        # one pass: lines that are neither are ranked among themselves, in a window that matched lines pass through
+        w = Window.partitionBy(name, "__free").orderBy(F.when(F.col("__free"), draw(F.col(name), F.col("line_index"), seed)))
+        ranked = marked.withColumn("__free", F.size("c") == 0).withColumn("__r", F.row_number().over(w))
+        kept = ranked.where(~F.col("__free") | (F.col("__r") <= negatives)).withColumn("c", F.when(F.col("__free"), plain).otherwise(F.col("c")))
+    every = kept.withColumn("c", F.explode("c"))
     ident = F.concat_ws(":", F.col(name).cast("string"), "line_index", "c.m", "c.k")
     return every.select(
         name, ident.alias("candidate_id"), "line_index", F.col("c.m").alias("expected_marker_type"), F.col("c.k").alias("candidate_kind"),
@@ -74,12 +79,6 @@ def draw(name: Column, index: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", name.cast("string"), index.cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def sampled(rows: DataFrame, name: str, k: int, seed: int) -> DataFrame:
-    """[SMP-1] k rows of each name by hash: the same on every cluster, in any order."""
-    w = Window.partitionBy(name).orderBy(draw(F.col(name), F.col("line_index"), seed))
-    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
-
-
 def shuffled(rows: DataFrame, name: str, k: int, seed: int) -> DataFrame:
     """[SMP-1] k rows of each name by the standard generator, seeded with seed plus the code points of the name."""
     import random

@@ -150,7 +150,7 @@ def snippet_lines(spark, sf_dir):
 def triage_tables(spark, sf_dir):
     """SNK-3, FLT-5, FLT-6: labelled, unlabelled and filtered rows as three tables, read again"""
     docs = _docs(spark, sf_dir)
-    cited = C.extract(docs, "doc_id", pack=P.LICENSE_EN)
+    cited = scratch.written(C.extract(docs, "doc_id", pack=P.LICENSE_EN), "cited")  # read thrice
     good, rest = cited.where(C.labelled(cited, "laws_cited")), cited.where(~C.labelled(cited, "laws_cited"))
     titles = spark.createDataFrame([], "title string")
     path = scratch.folder(spark, "triage")
