@@ -73,13 +73,28 @@ def letters(text: str | None) -> list[str]:
 _RUNS = None
 
 
-def count_language(group: pa.Table) -> pa.Table:
-    """n-gram counts of one language: (lang, counts as float32 bytes)."""
-    total = np.zeros(1 << BITS)
-    for text in group.column("text").to_pylist():
-        if words := letters(text):
-            total += np.bincount(grams(words)[0], minlength=1 << BITS)
-    return pa.table({"lang": group.column("lang")[:1], "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+#: Languages whose counts a task holds at once.
+_HELD = 64
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to (lang, gram, n): the n-grams of a partition's texts, added up; whole texts go no further than this."""
+    held: dict[str, np.ndarray] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, n in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
+        held.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if lang not in held and len(held) == _HELD:
+                yield from sent()
+            n = held.setdefault(lang, np.zeros(1 << BITS, np.int64))
+            if words := letters(text.as_py()):
+                n += np.bincount(grams(words)[0], minlength=1 << BITS)
+    yield from sent()
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> tuple[list[str], np.ndarray]:
@@ -91,10 +106,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 5) -> tuple[list[str]
     h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     share = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, (sample << 30) // r["count"])) for r in sizes], "lang string, share long")
     part = known.join(F.broadcast(share), "lang").where(h < F.col("share")).select("lang", F.col("text").cast("string"))
-    rows = part.groupBy("lang").applyInArrow(count_language, "lang string, counts binary").collect()
-    rows = sorted((r for r in rows), key=lambda r: r["lang"])
-    counts = np.stack([np.frombuffer(r["counts"], "<f4") for r in rows], 1) + 0.05
-    return [r["lang"] for r in rows], np.log(counts / counts.sum(0)).astype(np.float32)
+    every = part.mapInArrow(count_grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # a row a language, of as many entries as there are places at most
+    rows = every.groupBy("lang").agg(F.collect_list("gram").alias("at"), F.collect_list("n").alias("n")).collect()
+    langs = sorted(r["lang"] for r in sizes)
+    counts = np.full((1 << BITS, len(langs)), np.float32(0.05))
+    for r in rows:
+        counts[np.array(r["at"], np.int64), langs.index(r["lang"])] += np.array(r["n"], np.float32)
+    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
 class Words(dict):
@@ -138,15 +157,15 @@ def mixture(ll: np.ndarray, n: np.ndarray) -> np.ndarray:
                 break
         return share, float(n @ np.log(q @ share + 1e-300))
 
-    full, _ = em(list(range(p.shape[1])))
+    # no set is likelier than all languages together, so where these do not pay for one more language none does
+    most = em(list(range(p.shape[1])))[1] + _STILL * total
     single = n @ np.log(p + 1e-300)
     use = [int(np.argmax(single))]
     share, best = np.ones(1), float(single[use[0]])
     penalty = 0.5 * np.log(total) + 2.0
-    for k in np.argsort(-full, kind="stable").tolist():
-        if k in use:
-            continue
-        wider, value = em([*use, k])
+    while most - best > penalty and len(use) < p.shape[1]:
+        tried = [(em([*use, k]), k) for k in range(p.shape[1]) if k not in use]
+        (wider, value), k = max(tried, key=lambda t: t[0][1])
         if value - best <= penalty:
             break
         use, share, best = [*use, k], wider, value
