@@ -19,7 +19,6 @@ from lawmill.operators import labels as L
 from lawmill.operators import layout as Y
 from lawmill.operators import ledger as G
 from lawmill.operators import links as K
-from lawmill.operators import models as M
 from lawmill.operators import sections as S
 from lawmill.operators import tagging as B
 
@@ -455,19 +454,6 @@ def law_article_assembly(spark, sf_dir):
     return B.law_articles(rows, "doc").select("law_name", F.array_join("articles", ",").alias("articles"))
 
 
-@query(_golden([("x", "O,B-LAW,I-LAW"), ("y", "B-ART"), ("z", "")], "k, tags"))
-def crf_decode(spark, sf_dir):
-    """MDL-2, WIN-10: Viterbi in Arrow batches (golden)"""
-    import numpy as np
-
-    move = np.zeros((6, 6))
-    move[1, 3] = move[0, 3] = -50.0
-    crf = M.Crf(np.zeros(6), np.zeros(6), move)
-    e = [("x", [[0, 9, 0, 0, 0, 0], [0, 0, 4, 5, 0, 0], [0, 0, 0, 8, 0, 0]]), ("y", [[0, 0, 0, 0, 3, 1]]), ("z", [])]
-    rows = spark.createDataFrame([(k, [[float(v) for v in r] for r in m]) for k, m in e], "k string, emissions array<array<double>>")
-    return M.decode_emissions(rows, "k", crf, B.TAGS).select("k", F.array_join("tags", ",").alias("tags"))
-
-
 # ---- pages, ledgers, layout ----------------------------------------------------------------------------------------
 _HREF = r"""list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda h: trim(h)), lambda h: NOT starts_with(h, 'javascript:') AND NOT contains(lower(h), 'tra-cu-ban-an'))))"""
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lawmill.functions import patterns as P
 from lawmill.operators import sample_tags as A
-from lawmill.plans.catalog import _TOKEN, _docs, _t, query
+from lawmill.operators import sections as S
+from lawmill.operators import viterbi as V
+from lawmill.plans.catalog import _F26, _LINES, _TOKEN, _docs, _lines, _t, query
 
 _PREFIX = "'điều ' || doc_id % 50 || ', điều ' || doc_id % 50 || ', ' || doc_id % 7 || ' '"
 _TEXT = f"{_PREFIX} || coalesce(text, '')"
@@ -46,3 +49,28 @@ def tag_samples(spark, sf_dir):
     )
     made = A.samples(entries)
     return made.select(F.col("file_name").cast("long").alias("conv_id"), F.col("entry_index").alias("turn"), F.array_join("tags", ",").alias("tags"))
+
+
+# ---- the best sequence of section markers: fixed weights, whose sums are exact ------------------------------------------
+#: Weight of near_top, near_middle, near_late for each marker.
+_PLACES = {"preamble": (0.5, 0.0, 0.0), "noi_dung_vu_an": (0.25, 0.25, 0.0), "dai_dien_vks": (0.0, 0.25, 0.0), "nhan_dinh": (0.0, 0.25, 0.25), "quyet_dinh": (0.0, 0.0, 0.5)}
+_START, _END = [0.0, 0.5, 0.0, 0.0, 0.0, -0.5], [0.0, -0.5, 0.0, 0.0, 0.0, 0.25]
+#: Tag 0 is none; from one marker to an earlier one costs 3, to itself 1, to a later one nothing.
+_MOVE = [[0.25 if s == t == 0 else 0.0 if s == 0 or t == 0 else -3.0 if t < s else -1.0 if t == s else 0.0 for t in range(6)] for s in range(6)]
+_EMIT = {m: f"2.0 * regex_{m} + 0.25 * title_like + {top} * near_top + {middle} * near_middle + {late} * near_late" for m, (top, middle, late) in _PLACES.items()}
+_USED = ["title_like", "near_top", "near_middle", "near_late", *(f"regex_{m}" for m in P.MARKERS)]
+_BEST = "list_transform(range(1, 7), lambda s: v.s[s] + m[s][t])"
+
+
+@query(f"""WITH RECURSIVE {_LINES}, f AS (SELECT doc_id, line_index, {', '.join(f'({_F26[k]})::DOUBLE AS {k}' for k in _USED)} FROM lines),
+e AS MATERIALIZED (SELECT doc_id, line_index, [1.0::DOUBLE, {', '.join(f'({x})::DOUBLE' for x in _EMIT.values())}] AS em, {_START}::DOUBLE[] AS st, {_MOVE}::DOUBLE[][] AS m FROM f),
+v AS (SELECT doc_id, line_index, list_transform(em, lambda x, k: x + st[k]) AS s, list_transform(range(6), lambda t: t::VARCHAR) AS p FROM e WHERE line_index = 0
+  UNION ALL SELECT e.doc_id, e.line_index, list_transform(range(1, 7), lambda t: em[t] + list_max({_BEST})), list_transform(range(1, 7), lambda t: v.p[list_position({_BEST}, list_max({_BEST}))] || (t - 1)) FROM v JOIN e ON e.doc_id = v.doc_id AND e.line_index = v.line_index + 1),
+z AS (SELECT doc_id, p, list_transform(s, lambda x, k: x + {_END}::DOUBLE[][k]) AS s FROM v WHERE (doc_id, line_index) IN (SELECT (doc_id, max(line_index)) FROM lines GROUP BY doc_id))
+SELECT doc_id, md5(p[list_position(s, list_max(s))]) AS path, length(p[1])::INT AS n FROM z""".replace(f"{_END}::DOUBLE[][k]", f"({_END}::DOUBLE[])[k]"))
+def viterbi_lines(spark, sf_dir):
+    """MDL-2, WIN-10: the best marker sequence over every line of every document, its line features as scores"""
+    rows = S.features(_lines(spark, sf_dir), P.LICENSE_EN).select("doc_id", "line_index", *_USED)
+    scores = F.array(F.lit(1.0), *(F.expr(x.replace(".0 ", ".0D ").replace("0.25 ", "0.25D ").replace("0.5 ", "0.5D ")) for x in _EMIT.values()))
+    made = V.decode_rows(rows, "doc_id", "line_index", scores, _START, _END, _MOVE)
+    return made.select("doc_id", F.md5(F.array_join(F.col("path").cast("array<string>"), "").cast("binary")).alias("path"), F.size("path").alias("n"))
