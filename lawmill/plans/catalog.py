@@ -241,13 +241,6 @@ _F26 = {
 }
 
 
-@query(f"WITH {_LINES} SELECT doc_id, line_index::INT AS line_index, {', '.join(f'round({v}, 9) AS {k}' for k, v in _F26.items())} FROM lines")
-def line_features(spark, sf_dir):
-    """FEA-2 (its keyword columns are constant here and left to the tests)"""
-    made = S.features(_lines(spark, sf_dir), P.LICENSE_EN)
-    return made.select("doc_id", "line_index", *(F.round(k, 9).alias(k) for k in _F26))
-
-
 @query(f"WITH {_LINES}, f AS (SELECT *, {', '.join(f'{_FLAG.format(_re(m))} AS r{i}' for i, m in enumerate(P.MARKERS))}, {_TITLE} AS tl FROM lines) SELECT doc_id, line_index::INT AS line_index, {', '.join(f'greatest(r{i}, 0.65::DOUBLE * lag(r{i}, 1, 0) OVER w, 0.65::DOUBLE * lead(r{i}, 1, 0) OVER w) AS window_regex_{m}' for i, m in enumerate(P.MARKERS))}, lag(greatest(r0, r1, r2, r3, r4), 1, 0) OVER w AS prev_regex_any, lead(tl, 1, 0) OVER w AS next_title_like, CASE WHEN lag(line) OVER w IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prev_blank_like FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY line_index)")
 def window_regex_decay(spark, sf_dir):
     """WIN-3, FEA-3's context"""
@@ -255,13 +248,6 @@ def window_regex_decay(spark, sf_dir):
     return made.select("doc_id", "line_index", *(f"window_regex_{m}" for m in P.MARKERS), "prev_regex_any", "next_title_like", "prev_blank_like")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, line_index::INT AS line_index, {_FLAG.format(f'{_POS} <= 0.05::DOUBLE')} AS pos_bucket_00_05, {_FLAG.format(f'{_POS} > 0.35::DOUBLE AND {_POS} <= 0.6::DOUBLE')} AS pos_bucket_35_60, {_FLAG.format(f'{_POS} > 0.8::DOUBLE')} AS pos_bucket_80_100, {_FLAG.format('contains(line, chr(46))')} AS has_period, {_FLAG.format('length(line) <= 80')} AS is_short_80, {_FLAG.format(f'{_RATIO} <= 0.12::DOUBLE AND length(line) > 30')} AS mostly_lower, {_FLAG.format(_TABLE)} AS has_markdown_table, {_FLAG.format(f'{_POS} >= 0.72::DOUBLE')} AS near_end FROM lines")
-def line_features_wide(spark, sf_dir):
-    """FEA-3 over every line (a selection of its columns; all are tested on fixtures)"""
-    made = S.wide_features(_lines(spark, sf_dir), "doc_id", P.LICENSE_EN, plain=F.lower("line"))
-    return made.select("doc_id", "line_index", "pos_bucket_00_05", "pos_bucket_35_60", "pos_bucket_80_100", "has_period", "is_short_80", "mostly_lower", "has_markdown_table", "near_end")
-
-
 _AT = ", ".join(f"min(CASE WHEN {_re(m)} THEN line_index END) AS f{i}" for i, m in enumerate(P.MARKERS))
 _SLICES = f"""
 m AS (SELECT doc_id, max(n_lines) AS n, list(line ORDER BY line_index) AS ls, {_AT} FROM lines GROUP BY doc_id),

@@ -14,6 +14,7 @@ from lawmill.operators import ledger as G
 from lawmill.operators import sections as S
 from lawmill.operators import tagging as B
 from lawmill.plans.catalog import _CANDS, _CITED, _LINES, _TOKEN, _WS, _candidates, _docs, _lines, _t, query
+from lawmill.sources import json_array as J
 from lawmill.sources import readers as R
 from lawmill.sources import scratch
 
@@ -106,15 +107,12 @@ def json_lines_with_bad_ones(spark, sf_dir):
     return counted.crossJoin(R.json_lines(spark, path, kind, "drop").select("doc_id", "text").agg(F.count("doc_id").alias("after_drop")))  # one row each
 
 
-@query("SELECT item_id, text FROM benchmark")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def json_document(spark, sf_dir):
-    """SRC-3, SNK-1: a pretty array written and read"""
-    path = scratch.folder(spark, "array").removeprefix("file://").replace("file:/", "/")
-    import os
-
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    R.write_json_array(_t(spark, sf_dir, "benchmark").select("item_id", "text"), f"{path}.json", ["item_id"])
-    return R.json_documents(spark, f"{path}.json", "item_id long, text string")
+    """SRC-3, SNK-1: every document in a pretty array, written in parts and read"""
+    path = scratch.folder(spark, "array")
+    R.write_json_array(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path, ["doc_id"])
+    return J.read(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -104,11 +103,12 @@ def fetch(urls: DataFrame, fetcher: Callable[[str], tuple[str | None, bytes | No
     return urls.select("url").mapInPandas(run, "url string, html string, content binary")
 
 
-def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
-    """[SNK-1] A pretty UTF-8 array for a small export on the driver; use df.write.json for anything large."""
-    rows = [json.loads(x) for x in df.orderBy(*order).toJSON().toLocalIterator()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=2)
+def write_json_array(df: DataFrame, folder: str, order: list[str]) -> None:
+    """[SNK-1] A pretty UTF-8 array as ordered parts, written by the tasks and committed at once; json_array.read reads it."""
+    from lawmill.sources.json_array import JsonArray
+
+    df.sparkSession.dataSource.register(JsonArray)
+    df.orderBy(*order).write.format("json_array").mode("overwrite").save(folder)
 
 
 def write_triage(labelled: DataFrame, unlabelled: DataFrame, filtered: DataFrame, folder: str) -> None:

@@ -333,8 +333,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "t.csv").write_text('title\n"Luật, A"\n\nLuật B\nLuật B\n')
     assert [r[0] for r in R.titles(spark, str(tmp_path / "t.csv")).collect()] == ["Luật, A", "Luật B", "Luật B"]
     assert [r[0] for r in R.titles_by_place(spark, str(tmp_path / "t.csv")).collect()] == ["Luật, A", "Luật B"]
-    R.write_json_array(spark.createDataFrame([(2, "é"), (1, "a")], "i int, t string"), str(tmp_path / "o.json"), ["i"])
-    assert json.loads((tmp_path / "o.json").read_text()) == [{"i": 1, "t": "a"}, {"i": 2, "t": "é"}]
+    R.write_json_array(spark.createDataFrame([(2, "é"), (1, "a")], "i int, t string"), str(tmp_path / "o"), ["i"])
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*")))) == [{"i": 1, "t": "a"}, {"i": 2, "t": "é"}]
 
 
 def test_pdf_and_fetch(spark, tmp_path):
