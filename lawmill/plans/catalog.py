@@ -16,7 +16,6 @@ from lawmill.functions import text as T
 from lawmill.operators import citations as C
 from lawmill.operators import corpus as V
 from lawmill.operators import labels as L
-from lawmill.operators import layout as Y
 from lawmill.operators import ledger as G
 from lawmill.operators import links as K
 from lawmill.operators import sections as S
@@ -504,33 +503,6 @@ def resume_anti(spark, sf_dir):
     return L.pending(e, e.where("event_id % 10 = 0"), ["user_id", "event_type"], F.col("value") > 0).select("event_id")
 
 
-_SPANROWS = [
-    ("d", 1, 0, 0, 10.0, 0, 36.0, 10.0, 0, 36.0, 10.0, 90.0, 20.0, "A", "F", 11.04), ("d", 1, 0, 0, 10.0, 0, 36.0, 10.0, 1, 102.0, 10.0, 120.0, 20.0, "B", "F", 12.0),
-    ("d", 1, 1, 0, 5.0, 0, 0.0, 5.0, 0, 0.25, 5.0, 9.0, 8.0, "top & <b>", "G", 9.0), ("d", 1, 2, 1, 1.0, 0, 0.0, 1.0, 0, 0.0, 1.0, 2.0, 2.0, "image", "F", 1.0),
-    ("d", 2, 0, 0, 3.0, 0, 0.0, 3.0, 0, 0.0, 3.0, 4.0, 4.0, "  ", "F", 1.0),
-]
-
-
-@query(_golden([("d", "\ntop & <b>\n      A  B\n")], "doc, text"))
-def layout_markdown(spark, sf_dir):
-    """SEM-13, WIN-5, AGG-16, FLT-12, SRT-2 (golden)"""
-    return Y.markdown(spark.createDataFrame(_SPANROWS, Y.SPAN))
-
-
-@query(_golden([(1, "top & <b>", 0.2, "G", 9.0), (2, "A", 36.0, "F", 11.0), (3, "B", 102.0, "F", 12.0)], "i, text, x0, font, size"))
-def layout_elements(spark, sf_dir):
-    """PRJ-6 (golden)"""
-    made = Y.elements(spark.createDataFrame(_SPANROWS, Y.SPAN)).select(F.posexplode("elements").alias("i", "e"))
-    return made.select((F.col("i") + 1).alias("i"), "e.text", F.get("e.bbox", F.lit(0)).alias("x0"), "e.font", "e.size")
-
-
-@query(_golden([("d", 1, "<div class='page' style='width:595.0px;height:842.0px;' data-page='1'>\n<div class='text-line' style='left:36.0px;top:10.0px;font-size:12.0px;font-family:F;'>AB</div>\n<div class='text-line' style='left:0.0px;top:5.0px;font-size:9.0px;font-family:G;'>top &amp; &lt;b&gt;</div>\n</div>")], "doc, page, html"))
-def layout_html(spark, sf_dir):
-    """SEM-14, AGG-17, SNK-9 (golden)"""
-    sizes = spark.createDataFrame([("d", 1, 595.0, 842.0)], "doc string, page int, width double, height double")
-    return Y.html(spark.createDataFrame(_SPANROWS, Y.SPAN), sizes)
-
-
 @query("SELECT count(DISTINCT d.doc_id)::BIGINT AS documents, count(*)::BIGINT AS n_lines, sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END)::BIGINT AS positives FROM documents d LEFT JOIN labels l USING (doc_id)")
 def corpus_stats(spark, sf_dir):
     """AGG-8"""
