@@ -129,7 +129,7 @@ def indexed(c: Column) -> Column:
     return F.array_join(F.transform(white_tokens(c), lambda t, i: F.concat((i + 1).cast("string"), F.lit("#"), t)), " ")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value worked out once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -147,9 +147,9 @@ def running_sums(sizes: Column) -> Column:
     def joined(parts: Column) -> Column:
         totals = F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0)))
         # what stands before each run: totals moved on by one
-        return _let(fold(F.concat(F.array(F.lit(0)), totals)), lambda before: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda v: v + F.get(before, k)))))
+        return let(fold(F.concat(F.array(F.lit(0)), totals)), lambda before: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda v: v + F.get(before, k)))))
 
-    return _let(runs, joined)
+    return let(runs, joined)
 
 
 def match_spans(c: Column, pattern: str) -> Column:
@@ -164,7 +164,7 @@ def match_spans(c: Column, pattern: str) -> Column:
         ends = running_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), F.transform(hits, F.length), lambda g, n: g + n))
         return F.zip_with(hits, ends, lambda h, e: F.struct(h.alias("text"), (e - F.length(h)).alias("start"), e.alias("end")))
 
-    return _let(found, spans)
+    return let(found, spans)
 
 
 def escape_html(c: Column) -> Column:

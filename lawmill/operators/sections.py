@@ -235,18 +235,23 @@ def choose_markers(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LE
         item = F.struct("line_index", F.lit(m).alias("marker_type"), "line", score.alias("score"), F.lit("model_regex").alias("source"))
         scored = scored.withColumn(f"__{m}", F.when((score >= F.lit(threshold)) | hit | mine, item))
     docs = scored.groupBy(name).agg(F.first("n_lines").alias("n_lines"), *(F.collect_list(f"__{m}").alias(f"__{m}") for m in P.MARKERS))
-    docs = docs.withColumn("__last", F.lit(-1))
-    for m in P.MARKERS:
-        viable = F.filter(f"__{m}", lambda c: c["line_index"] > F.col("__last"))
-        if m in ("preamble", "quyet_dinh"):
-            edge = F.floor(F.col("n_lines") * F.lit(0.18 if m == "preamble" else 0.45))
-            part = F.filter(viable, (lambda c: c["line_index"] <= F.greatest(F.lit(30), edge)) if m == "preamble" else (lambda c: c["line_index"] >= edge))  # noqa: B023
-            viable = F.when(F.size(part) > 0, part).otherwise(viable)
-        best = F.array_max(F.transform(viable, lambda c: F.struct(c["score"].alias("s"), (-F.abs(c["line_index"] - F.col("__last"))).alias("d"), (-c["line_index"]).alias("i"), c.alias("c"))))
-        docs = docs.withColumn(f"__pick_{m}", best["c"])
-        docs = docs.withColumn("__last", F.coalesce(F.col(f"__pick_{m}.line_index"), F.col("__last")))
-    picks = F.array_compact(F.array(*(F.col(f"__pick_{m}") for m in P.MARKERS)))
-    warned = F.array_compact(F.array(*(F.when(F.col(f"__pick_{m}").isNull(), F.lit(f"missing_marker:{m}")) for m in P.MARKERS)))
+    n = F.col("n_lines")
+    edges = {"preamble": (F.lit(0), F.greatest(F.lit(30), F.floor(n * F.lit(0.18)))), "quyet_dinh": (F.floor(n * F.lit(0.45)), n)}
+    turns = [F.struct(*(e.cast("int").alias(k) for k, e in zip(("low", "high"), edges.get(m, (F.lit(0), n)), strict=True)), F.col(f"__{m}").alias("items")) for m in P.MARKERS]
+
+    def choose(state: Column, turn: Column) -> Column:
+        """The turn's best item after the last pick, near the edge where there is any."""
+        viable = F.filter(turn["items"], lambda c: c["line_index"] > state["last"])
+        near = lambda v: F.filter(v, lambda c: (c["line_index"] >= turn["low"]) & (c["line_index"] <= turn["high"]))
+        kept = T.let(viable, lambda v: T.let(near(v), lambda part: F.when(F.size(part) > 0, part).otherwise(v)))
+        ranked = F.transform(kept, lambda c: F.struct(c["score"].alias("s"), (state["last"] - c["line_index"]).alias("d"), (-c["line_index"]).alias("i"), c.alias("c")))
+        return T.let(F.array_max(ranked)["c"], lambda best: F.struct(F.coalesce(best["line_index"], state["last"]).alias("last"), F.concat(state["picks"], F.array(best)).alias("picks")))
+
+    item = docs.schema[f"__{P.MARKERS[0]}"].dataType.simpleString()
+    zero = F.struct(F.lit(-1).alias("last"), F.array().cast(item).alias("picks"))
+    docs = docs.withColumn("__picks", F.aggregate(F.array(*turns), zero, choose, lambda s: s["picks"]))
+    picks = F.filter("__picks", lambda c: c.isNotNull())
+    warned = F.array_compact(F.array(*(F.when(F.get("__picks", F.lit(k)).isNull(), F.lit(f"missing_marker:{m}")) for k, m in enumerate(P.MARKERS))))
     return docs.select(name, "n_lines", F.map_from_entries(F.transform(picks, lambda c: F.struct(c["marker_type"], c))).alias("selected_markers"), warned.alias("warnings"))
 
 

@@ -1,7 +1,7 @@
 """The registered queries over the driver's tables, each with its SQL where SQL can express it.
 
-Queries read whole tables. Inline rows are hand-made cases; their SQL is the expected rows, marked "golden". Documents
-take the place of Markdown files (doc_id names them) and licence notices that of citations.
+Queries read whole tables. Documents take the place of Markdown files (doc_id names them) and licence notices that of
+citations.
 """
 
 from __future__ import annotations
@@ -48,12 +48,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.line_rows(_docs(spark, sf_dir), "doc_id")
 
 
-def _golden(rows: list[tuple], names: str) -> str:
-    """SQL of expected rows."""
-    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + str(v).replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names})"
-
-
 # ---- SQL fragments -------------------------------------------------------------------------------------------------
 _WS = r"[\s\x0b\x1c-\x1f]+"
 _LINES = rf"""
@@ -106,24 +100,6 @@ def citation_total(spark, sf_dir):
     return C.total(C.extract(_docs(spark, sf_dir), "doc_id", pack=P.LICENSE_EN))
 
 
-_VI = [
-    ("a", "khoản 4 Điều 174 Bộ luật Hình sự.", ["khoản 4 Điều 174 Bộ luật Hình sự"]),
-    ("b", "khoản 4 Điều 174 , điểm b, s, v khoản 1, khoản 2 Điều 51, Điều 65 của Bộ luật Hình sự.", ["khoản 4 Điều 174 , điểm b, s, v khoản 1, khoản 2 Điều 51, Điều 65 của Bộ luật Hình sự"]),
-    ("c", "Điều 48 BLHS.", ["Điều 48 BLHS"]),
-    ("d", "khoản 2 Điều 468 của BLDS (2015) tương ứng với số tiền", ["khoản 2 Điều 468 của BLDS (2015)"]),
-    ("e", "Luật sư bào chữa cho bị cáo. Căn cứ Điều 2 Luật Thi hành án dân sự; theo quy định tại các điều 6, 7 và 9 Luật Thi hành án dân sự", ["Căn cứ Điều 2 Luật Thi hành án dân sự", "theo quy định tại các điều 6, 7 và 9 Luật Thi hành án dân sự"]),
-    ("f", "khoản tiền nợ do thế chấp ngôi nhà số H T cho Ngân hàng (cả gốc và lãi khoảng hơn 5.", []),
-    ("g", "Điều 48 BLHS (sửa đổi, bổ sung năm 2017) và Điều 5.", ["Điều 48 BLHS"]),
-]
-
-
-@query(_golden([(n, m) for n, _, ms in _VI for m in ms], "file_name, law"))
-def citation_extract_vi(spark, sf_dir):
-    """SEM-1 with the legal pack on hand-made texts (golden)."""
-    docs = spark.createDataFrame([(n, t) for n, t, _ in _VI], "file_name string, text string")
-    return C.extract(docs).select("file_name", F.explode("laws_cited").alias("law"))
-
-
 _F1 = rf"""
 laws AS (SELECT doc_id, list_distinct({_WORDS.format("coalesce(text, '')")}) AS w FROM documents),
 titles AS (SELECT item_id, list_distinct({_WORDS.format("text")}) AS tw FROM benchmark),
@@ -272,69 +248,7 @@ def section_slices(spark, sf_dir):
     return out.select("doc_id", F.array_contains("section_warnings", "invalid_order_ratio_fallback").alias("reset"), *(f"sections.{m}" for m in P.MARKERS))
 
 
-_PICK = [(f"Dòng {i}", "O") for i in range(10)]
-_PICK[0], _PICK[2], _PICK[4], _PICK[6], _PICK[8] = ("NHÂN DANH", "O"), ("NỘI DUNG VỤ ÁN:", "O"), ("Đại diện Viện kiểm sát", "O"), ("NHẬN ĐỊNH CỦA TÒA ÁN", "nhan_dinh"), ("QUYẾT ĐỊNH:", "quyet_dinh")
-
-
-@query(_golden([("preamble", 0), ("noi_dung_vu_an", 2), ("dai_dien_vks", 4), ("nhan_dinh", 6), ("quyet_dinh", 8)], "marker, line_index"))
-def section_select(spark, sf_dir):
-    """SEM-10, FLT-18, WIN-8, SRT-6, SCL-32 (golden)"""
-    rows = spark.createDataFrame([("d", i, len(_PICK), x, t) for i, (x, t) in enumerate(_PICK)], "file_name string, line_index int, n_lines int, line string, tag string")
-    rows = rows.withColumns({f"prob_{m}": F.lit(0.1) for m in P.MARKERS})
-    return S.choose_markers(rows).select(F.explode("selected_markers").alias("marker", "v")).select("marker", "v.line_index")
-
-
 # ---- labels --------------------------------------------------------------------------------------------------------
-_LLM = [
-    ("1", "khoản 4 Điều 174 Bộ luật Hình sự.", "ART: 174 | LAW: 5-8", [("174", "Bộ luật Hình sự.")]),
-    ("2", "các Điều 271, Điều 272 và Điều 273 Bộ luật tố tụng Dân sự.", "ART: 271,272,273 | LAW: 9-14", [("271,272,273", "Bộ luật tố tụng Dân sự.")]),
-    ("3", "Luật Đất đai", "ART: | LAW: 1-3", [("", "Luật Đất đai")]),
-    ("4", "không có", "NL", []),
-    ("5", "a b c d e f g h", "ART: 10a,5 | LAW: 5-99\nART: 7 | LAW: 1-2", [("5", "[INVALID_RANGE]"), ("7", "a b")]),
-]
-
-
-@query(_golden([(k, a, law) for k, _, _, rows in _LLM for a, law in rows], "k, articles, law"))
-def parse_llm_output(spark, sf_dir):
-    """PRS-1, SCL-12 (golden)"""
-    df = spark.createDataFrame([(k, t, o) for k, t, o, _ in _LLM], "k string, input string, raw string")
-    made = df.select("k", F.explode(L.parse_citations(F.col("raw"), T.white_tokens(F.col("input")))).alias("c"))
-    return made.select("k", F.array_join("c.articles", ",").alias("articles"), "c.law")
-
-
-_DIGITS = [("113", 1, "preamble", "high"), ("003", 0, "none", "high"), ("x 152 y", 1, "quyet_dinh", "medium"), ("nothing", 0, "none", "low"), ("043", 0, "none", "high"), ("", 0, "none", "low")]
-
-
-@query(_golden(_DIGITS, "raw, label, marker_type, confidence"))
-def parse_marker_labels(spark, sf_dir):
-    """PRS-3 (golden)"""
-    df = spark.createDataFrame([(r[0],) for r in _DIGITS], "raw string")
-    return df.select("raw", L.parse_marker(F.col("raw")).alias("m")).select("raw", "m.*")
-
-
-_FIRST = [("ART: 1, 2 | LAW: 3-5\nART: 9 | LAW: 1-1", "1,2", 3, 5), ("ART: 10a | LAW: 5-2", "10a", None, None), ("NL", "", None, None)]
-
-
-@query(_golden(_FIRST, "raw, articles, first, last"))
-def parse_first_line(spark, sf_dir):
-    """PRS-2 (golden)"""
-    df = spark.createDataFrame([(r[0],) for r in _FIRST], "raw string").withColumn("p", L.parse_first(F.col("raw")))
-    return df.select("raw", F.array_join("p.articles", ",").alias("articles"), "p.law.first", "p.law.last")
-
-
-_RULED = [
-    ("NHÂN DANH NƯỚC", "preamble", "regex", "rule_strong_marker"), ("VÌ CÁC LẼ TRÊN", "quyet_dinh", "regex", "rule_decision_transition"),
-    ("gì đó", "none", "random_negative", "rule_random_negative"), ("QUYẾT ĐỊNH", "preamble", "regex", None),
-]
-
-
-@query(_golden([(a, b, d) for a, b, _, d in _RULED], "line, expected, reason"))
-def rule_labels(spark, sf_dir):
-    """PRS-5, SCL-24 (golden)"""
-    df = spark.createDataFrame([r[:3] for r in _RULED], "line string, expected string, kind string")
-    return df.select("line", "expected", L.rule_label(F.col("line"), F.col("expected"), F.col("kind"))["reason"].alias("reason"))
-
-
 _LEVELED = "SELECT doc_id, quality, toxic, CASE WHEN doc_id % 3 = 0 THEN 'high' WHEN doc_id % 3 = 1 THEN 'medium' ELSE 'low' END AS confidence FROM labels"
 
 
@@ -406,39 +320,6 @@ def token_offsets(spark, sf_dir):
     return rows.join(_docs(spark, sf_dir), "doc_id").select("doc_id", "n", "chars", (F.length("text") - F.col("last")).cast("long").alias("trailing"))
 
 
-_GOLD = ["B-LAW", "I-LAW", "O", "B-ART", "I-ART", "O"]
-_PRED = ["O", "I-LAW", "I-LAW", "B-ART", "I-ART", "I-LAW"]
-_SPANS = [("gold", "LAW", 0, 1, "a b"), ("gold", "ART", 3, 4, "d e"), ("pred", "LAW", 1, 2, "b c"), ("pred", "ART", 3, 4, "d e"), ("pred", "LAW", 5, 5, "f")]
-
-
-def _tagged(spark):
-    return spark.createDataFrame([(k, i, "abcdef"[i], t) for k, tags in (("gold", _GOLD), ("pred", _PRED)) for i, t in enumerate(tags)], "doc string, pos int, token string, tag string")
-
-
-@query(_golden(_SPANS, "doc, label, first, last, text"))
-def bio_spans(spark, sf_dir):
-    """WIN-6, WIN-7 (golden)"""
-    return B.spans(_tagged(spark), "doc").select("doc", "label", "first", "last", "text")
-
-
-@query("SELECT label, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, f1::DOUBLE AS f1 FROM (VALUES ('LAW', 0, 2, 1, 0.0), ('ART', 1, 0, 0, 1.0), ('micro', 1, 2, 1, 0.4), ('avg', 0, 0, 0, 0.5)) AS v(label, tp, fp, fn, f1)")
-def span_metrics(spark, sf_dir):
-    """AGG-9, AGG-10, JON-13, SET-2 (golden)"""
-    found = B.spans(_tagged(spark), "doc")
-    side = lambda d: found.where(F.col("doc") == d).select("label", "first", "last")
-    return B.metrics(side("gold"), side("pred"), ["first", "last"]).select("label", "tp", "fp", "fn", F.round("f1", 9).alias("f1"))
-
-
-_SNIP = list(zip("Điều 5 Bộ luật Dân sự Điều 7 Luật A".split(), ["B-ART", "I-ART", "B-LAW", "I-LAW", "I-LAW", "I-LAW", "B-ART", "I-ART", "B-LAW", "I-LAW"], strict=True))
-
-
-@query(_golden([("Bộ luật Dân sự", "7"), ("Luật A", "")], "law_name, articles"))
-def law_article_assembly(spark, sf_dir):
-    """SEM-9, JON-11 (golden)"""
-    rows = spark.createDataFrame([("x", i, w, t) for i, (w, t) in enumerate(_SNIP)], "doc string, pos int, token string, tag string")
-    return B.law_articles(rows, "doc").select("law_name", F.array_join("articles", ",").alias("articles"))
-
-
 # ---- pages, ledgers, layout ----------------------------------------------------------------------------------------
 _HREF = r"""list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda h: trim(h)), lambda h: NOT starts_with(h, 'javascript:') AND NOT contains(lower(h), 'tra-cu-ban-an'))))"""
 
