@@ -256,44 +256,6 @@ def label_tokens(rows: DataFrame, key: str, bundle: dict, tags: list[str], char_
     return rows.select(key, "word_ids", "char_ids", "features").mapInPandas(run, kind)
 
 
-def train_crf(sequences: list[tuple[np.ndarray, list[int]]], tags: int, epochs: int = 40, rate: float = 0.1, weight: np.ndarray | None = None, patience: int = 8, clip: float = 5.0, seed: int = 0) -> tuple[np.ndarray, Crf]:
-    """[MDL-7, MDL-8] A feature-based CRF: weights [feature, tag] and transitions, by clipped gradient steps with early stop.
-
-    The loss is the path's negative log-likelihood and 0.15 of a cross-entropy whose tags are weighted; the step halves
-    after three epochs without gain. sequences: (features, tags) that fit on the driver.
-    """
-    rng = np.random.default_rng(seed)
-    w, start, end, move = np.zeros((sequences[0][0].shape[1], tags)), np.zeros(tags), np.zeros(tags), np.zeros((tags, tags))
-    weight = np.ones(tags) if weight is None else weight
-    best, stale, kept = np.inf, 0, None
-    for _ in range(epochs):
-        total = 0.0
-        for k in rng.permutation(len(sequences)):
-            x, y = sequences[k]
-            crf, e = Crf(start, end, move), x @ w
-            p, pairs = crf.marginals(e)
-            one = np.eye(tags)[y]
-            q = softmax(e)
-            total += crf.loss(e, y) + 0.15 * float((-np.log(q[np.arange(len(y)), y] + 1e-12) * weight[y]).mean())
-            g_e = p - one + 0.15 * (q - one) * weight[y][:, None] / len(y)
-            g_move = pairs.copy()
-            np.subtract.at(g_move, (y[:-1], y[1:]), 1)
-            grads = [x.T @ g_e, p[0] - one[0], p[-1] - one[-1], g_move]
-            norm = np.sqrt(sum((g * g).sum() for g in grads))
-            step = rate * min(1.0, clip / (norm + 1e-12))
-            for param, g in zip((w, start, end, move), grads, strict=True):
-                param -= step * g
-        if total < best - 1e-6:
-            best, stale, kept = total, 0, (w.copy(), start.copy(), end.copy(), move.copy())
-        else:
-            stale += 1
-            rate *= 0.5 if stale % 3 == 0 else 1
-            if stale >= patience:
-                break
-    w, start, end, move = kept or (w, start, end, move)
-    return w, Crf(start, end, move)
-
-
 def errors(gold: DataFrame, found: DataFrame, key: str, limit: int = 100) -> DataFrame:
     """[SNK-13, SRT-10] At most `limit` sequences whose spans differ, by key."""
     side = lambda df, n: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("label", "first", "last"))).alias(n))
