@@ -9,7 +9,7 @@ label in the order of the first axes, and two tiles are compared only if their b
 The rotation only rules pairs out, with a margin far above rounding; what stays is decided on the vectors as given, in
 double precision.
 
-Equal vectors of a label are one class, compared once. A tile pair returns counts of direct links and the edges
+Equal vectors of a label are one class, compared once; classes are told apart by 128 bits of a digest and numbered once. A tile pair returns counts of direct links and the edges
 of a spanning forest, never the pairs, and hot labels are cut into tiles by range partitioning, so no task holds a label.
 """
 
@@ -227,7 +227,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     rows = rows.withColumn("key", F.when(F.col("ok"), F.substring("key", 1, 32)))
     rows = materialize(rows, "tiles-rows")
     good = rows.where("ok").groupBy("key").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = materialize(good.withColumn("id", F.xxhash64("key")), "tiles-classes")
+    classes = materialize(good.withColumn("id", F.monotonically_increasing_id()), "tiles-classes")
     turn = spark.sparkContext.broadcast(axes(classes))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
     kept = classes.select("id", "label", "v", "size")
