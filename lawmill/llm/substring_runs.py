@@ -156,11 +156,14 @@ class Index:
         hot = materialize(many.select("anchor", F.floor(F.col("n") / _HOT).cast("int").alias("top")), "runs-hot")
         salt = F.when(F.col("top").isNull(), 0).otherwise(F.pmod(F.xxhash64("unit"), F.col("top") + 1)).cast("int")
         salted = rows.join(hot, "anchor", "left").select("anchor", salt.alias("salt"), "unit", "doc")
-        name, at = f"lawmill_run_{uuid.uuid4().hex}", f"{self.path}/run-{self.turn:05d}"
         # dealt like the buckets, so that a bucket is one file
-        dealt = salted.repartition(self.buckets, "anchor", "salt")
-        dealt.write.bucketBy(self.buckets, "anchor", "salt").sortBy("anchor", "salt").option("path", at).saveAsTable(name)
-        return self.spark.table(name), hot
+        return self._keep(salted.repartition(self.buckets, "anchor", "salt")), hot
+
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        """rows(anchor, salt, unit, doc) as the next run."""
+        name, at = f"lawmill_run_{uuid.uuid4().hex}", f"{self.path}/run-{self.turn:05d}"
+        rows.write.bucketBy(self.buckets, "anchor", "salt").sortBy("anchor", "salt").option("path", at).saveAsTable(name)
+        return self.spark.table(name)
 
     def append(self, rows: DataFrame) -> DataFrame:
         """Add a batch as a run of its own."""
@@ -170,10 +173,27 @@ class Index:
         return run
 
     def compact(self) -> None:
-        """Merge all runs into one if there are more than most_runs; old runs stay readable for those who read them."""
-        if len(self.runs) > self.most_runs:
-            run, hot = self._write(union_all(self.runs).select("anchor", "unit", "doc"))
-            self.runs, self.hot = [run], [hot]
+        """Merge all runs into one if there are more than most_runs; old runs stay readable for those who read them.
+
+        Runs share their buckets, so a bucket of the new run is made of the same bucket of each: rows keep their salts and
+        are not shuffled, but for those of anchors that came to over 2 * _HOT rows under one salt, which are salted anew.
+        """
+        if len(self.runs) <= self.most_runs:
+            return
+        self.turn += 1
+        rows, hot = union_all(self.runs), union_all(self.hot).groupBy("anchor").agg(F.max("top").alias("top"))
+        full = rows.groupBy("anchor", "salt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * _HOT)
+        full = materialize(full.select("anchor").distinct(), "runs-full")
+        if full.limit(1).count():
+            moved = materialize(union_all([self.under(*b, full) for b in zip(self.runs, self.hot, strict=True)]), "runs-moved")
+            tops = materialize(moved.groupBy("anchor").agg(F.floor(F.count(F.lit(1)) / _HOT).cast("int").alias("top")), "runs-tops")
+            salt = F.pmod(F.xxhash64("unit"), F.col("top") + 1).cast("int").alias("salt")
+            anew = moved.join(tops, "anchor").select("anchor", salt, "unit", "doc").repartition(self.buckets, "anchor", "salt")
+            salts = F.explode(F.sequence(F.lit(0), F.coalesce("top", F.lit(0)))).alias("salt")
+            gone = full.join(hot, "anchor", "left").select("anchor", salts)
+            rows = rows.hint("merge").join(gone, ["anchor", "salt"], "left_anti").select("anchor", "salt", "unit", "doc").unionByName(anew)
+            hot = hot.join(full, "anchor", "left_anti").unionByName(tops)
+        self.runs, self.hot = [self._keep(rows)], [materialize(hot, "runs-hot")]
 
     @staticmethod
     def under(run: DataFrame, hot: DataFrame, wanted: DataFrame) -> DataFrame:

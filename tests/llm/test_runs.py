@@ -19,6 +19,37 @@ def test_old_runs_are_not_shuffled(spark, tmp_path):
     assert index.under(run, index.hot[0], wanted).count() == sum(1 for i in range(500) if i % 90 < 40)
 
 
+def test_compaction_is_not_shuffled(spark, tmp_path):
+    """Rows of the runs go bucket by bucket: neither their counting nor their union has an exchange."""
+    index = substring_runs.Index(spark, str(tmp_path / "merge"), most_runs=1)
+    for k in range(2):
+        index.append(spark.range(300).selectExpr("id % 70 as anchor", f"id + {1000 * k} as unit", "id as doc"))
+    rows = substring_runs.union_all(index.runs)
+    plans = [rows.groupBy("anchor", "salt").count()._jdf.queryExecution().executedPlan().toString(), rows._jdf.queryExecution().executedPlan().toString()]
+    assert all("Exchange" not in p for p in plans)
+    index.compact()
+    assert len(index.runs) == 1 and index.runs[0].count() == 600
+    assert {r["unit"] for r in index.under(index.runs[0], index.hot[0], spark.sql("select 5L as anchor")).collect()} == {u + 1000 * k for u in range(5, 300, 70) for k in range(2)}
+
+
+def test_anchors_that_fill_up_are_salted_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_runs, "_HOT", 10)
+    index, want = substring_runs.Index(spark, str(tmp_path / "full"), most_runs=1), {}
+    for k in range(6):
+        rows = [(a, 1000 * k + 100 * a + i, i) for a, n in ((1, 8), (2, 3), (3, 35)) for i in range(n)]
+        for a, u, d in rows:
+            want.setdefault(a, set()).add((u, d))
+        index.append(spark.createDataFrame(rows, "anchor long, unit long, doc long"))
+        index.compact()
+    assert len(index.runs) == 1
+    salts = {(r["anchor"], r["salt"]): r["count"] for r in index.runs[0].groupBy("anchor", "salt").count().collect()}
+    assert len([a for a, _ in salts if a == 1]) > 1 and len([a for a, _ in salts if a == 3]) > 9 and max(salts.values()) <= 30
+    assert index.hot[0].groupBy("anchor").count().where("count > 1").count() == 0
+    for a, rows in want.items():
+        got = index.under(index.runs[0], index.hot[0], spark.sql(f"select {a}L as anchor")).collect()
+        assert sorted((r["unit"], r["doc"]) for r in got) == sorted(rows)
+
+
 @pytest.mark.parametrize("hot", [1 << 16, 7])
 def test_batches_and_compaction(spark, monkeypatch, hot):
     """Five batches with compaction on the way give what a plain scan gives, whether or not anchors are salted."""
