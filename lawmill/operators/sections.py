@@ -17,10 +17,22 @@ def flag(c: Column) -> Column:
     return F.when(c, 1.0).otherwise(0.0)
 
 
-def line_rows(docs: DataFrame, name: str = "file_name", text: str = "text", unicode_form: bool = True) -> DataFrame:
-    """[SCL-5, SCL-7, FLT-3] (name, line_index, line, n_lines): non-empty lines counted from 0."""
-    made = docs.select(name, T.lines(F.col(text), unicode_form).alias("l"))
-    return made.select(name, F.size("l").alias("n_lines"), F.posexplode("l").alias("line_index", "line"))
+def line_rows(docs: DataFrame, name: str = "file_name", text: str = "text", unicode_form: bool = True, around: int = 0) -> DataFrame:
+    """[SCL-5, SCL-7, FLT-3] (name, line_index, line, n_lines): non-empty lines counted from 0.
+
+    around also gives so many lines before and after, previous_<k> and next_<k>, null beyond the ends; they come from the document's own
+    array, so what looks at neighbours needs no window.
+    """
+    made = docs.select(name, T.lines(F.col(text), unicode_form).alias("line"))
+    if not around:
+        return made.select(name, F.size("line").alias("n_lines"), F.posexplode("line").alias("line_index", "line"))
+    n = F.size("line")
+    gap = lambda k: F.array_repeat(F.lit(None).cast("string"), F.least(n, F.lit(k)))
+    kept = lambda k: F.greatest(n - k, F.lit(0))
+    moved = {f"previous_{k}": F.concat(gap(k), F.slice("line", F.lit(1), kept(k))) for k in range(around, 0, -1)}
+    moved |= {f"next_{k}": F.concat(F.slice("line", F.lit(k + 1), kept(k)), gap(k)) for k in range(1, around + 1)}
+    each = made.withColumns(moved).select(name, n.alias("n_lines"), F.posexplode(F.arrays_zip("line", *moved)).alias("line_index", "z"))
+    return each.select(name, "n_lines", "line_index", "z.line", *(f"z.{c}" for c in moved))
 
 
 def position(index: Column, total: Column) -> Column:
@@ -29,7 +41,10 @@ def position(index: Column, total: Column) -> Column:
 
 
 def with_context(rows: DataFrame, name: str = "file_name") -> DataFrame:
-    """[WIN-1, WIN-2] Two lines before and after, "" at the ends, and the position."""
+    """[WIN-1, WIN-2] Two lines before and after, "" at the ends, and the position. Rows of line_rows(around=2) need no window."""
+    sides = ["previous_2", "previous_1", "next_1", "next_2"]
+    if set(sides) <= set(rows.columns):
+        return rows.withColumns({c: T.safe_text(F.col(c)) for c in sides} | {"position_ratio": position(F.col("line_index"), F.col("n_lines"))})
     w = Window.partitionBy(name).orderBy("line_index")
     near = {"previous_2": F.lag("line", 2, "").over(w), "previous_1": F.lag("line", 1, "").over(w), "next_1": F.lead("line", 1, "").over(w), "next_2": F.lead("line", 2, "").over(w)}
     return rows.withColumns(near | {"position_ratio": position(F.col("line_index"), F.col("n_lines"))})
@@ -126,14 +141,14 @@ def _has(c: Column, words: list[str]) -> Column:
     return out
 
 
-def _shares(x: Column, pos: Column) -> dict[str, Column]:
+def _shares(x: Column, pos: Column, ratio: Column) -> dict[str, Column]:
     n = F.length(x)
     words = F.size(T.tokens(x))
     return {
         "pos_ratio": pos, "pos_from_end": 1.0 - pos,
         "log_chars": F.least(F.lit(1.0), F.log1p(n) / 7.0), "log_words": F.least(F.lit(1.0), F.log1p(words) / 5.0),
-        "upper_ratio": T.upper_ratio(x), "digit_ratio": F.length(F.regexp_replace(x, r"[^\p{Nd}]", "")) / F.greatest(F.lit(1), n),
-        "punct_ratio": F.length(F.regexp_replace(x, r"(?U)[\p{L}\p{N}\s]", "")) / F.greatest(F.lit(1), n),
+        "upper_ratio": ratio, "digit_ratio": F.length(F.regexp_replace(x, r"[^\p{Nd}]+", "")) / F.greatest(F.lit(1), n),
+        "punct_ratio": F.length(F.regexp_replace(x, r"(?U)[\p{L}\p{N}\s]+", "")) / F.greatest(F.lit(1), n),
     }
 
 
@@ -149,22 +164,26 @@ def marker_flags(x: Column, pack: P.Pack) -> dict[str, Column]:
 def features(rows: DataFrame, pack: P.Pack = P.LEGAL_VI) -> DataFrame:
     """[FEA-2] Rows (…, line, line_index, n_lines) with the 26 line features as columns."""
     x, pos = F.col("line"), position(F.col("line_index"), F.col("n_lines"))
-    low = F.lower(x)
-    return rows.withColumns(
-        _shares(x, pos)
+    # what several features share is worked out in a step of its own
+    low, ratio = F.col("__low"), F.col("__ratio")
+    return rows.withColumns({"__low": F.lower(x), "__ratio": T.upper_ratio(x)}).withColumns(
+        _shares(x, pos, ratio)
         | {"has_colon": flag(F.contains(x, F.lit(":"))), "starts_hash": flag(x.startswith("#")), "starts_number": flag(x.rlike(P.HEADING_NUMBER))}
-        | {"is_short": flag(F.length(x) <= 100), "title_like": T.title_like(x), "all_caps": flag(T.upper_ratio(x) >= F.lit(0.6))}
+        | {"is_short": flag(F.length(x) <= 100), "title_like": T.title_like(x, ratio=ratio), "all_caps": flag(ratio >= F.lit(0.6))}
         | marker_flags(x, pack)
         | {k: flag(_has(low, words)) for k, words in _KEYS.items()}
         | _near(pos)
-    )
+    ).drop("__low", "__ratio")
 
 
 def wide_features(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LEGAL_VI, plain: Column | None = None) -> DataFrame:
-    """[FEA-3, WIN-3] The 59 base and 11 context features. plain: the line without accents, made here if not given."""
+    """[FEA-3, WIN-3] The 59 base and 11 context features. plain: the line without accents, made here if not given.
+
+    Rows of line_rows(around=1) have their neighbours beside them, and nothing is shuffled.
+    """
     x, pos, n = F.col("line"), position(F.col("line_index"), F.col("n_lines")), F.length(F.col("line"))
-    rows = rows.withColumn("__z", T.plain_line(x) if plain is None else plain)
-    low, z = F.lower(x), F.concat(F.lit(" "), F.col("__z"))
+    rows = rows.withColumns({"__z": F.concat(F.lit(" "), T.plain_line(x) if plain is None else plain), "__low": F.lower(x), "__ratio": T.upper_ratio(x)})
+    low, z, ratio = F.col("__low"), F.col("__z"), F.col("__ratio")
     plain_flags = {m: _has(z, words) for m, words in _PLAIN.items()}
     any_plain = F.lit(False)
     for c in plain_flags.values():
@@ -176,12 +195,12 @@ def wide_features(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LEG
     starts = {"starts_number": r"^\s*\p{Nd}+[.)-]", "starts_roman": r"(?i)^\s*[IVX]+[.)-]", "starts_bracket_number": r"^\s*\[?\p{Nd}+(?:\.\p{Nd}+)*\]"}
     keyed = zip(_KEYS.items(), P.MARKERS, strict=True)
     out = rows.withColumns(
-        _shares(x, pos) | buckets
-        | {"space_ratio": F.length(F.regexp_replace(x, r"(?U)\S", "")) / F.greatest(F.lit(1), n)}
+        _shares(x, pos, ratio) | buckets
+        | {"space_ratio": F.length(F.regexp_replace(x, r"(?U)\S+", "")) / F.greatest(F.lit(1), n)}
         | {k: flag(F.contains(x, F.lit(m))) for k, m in marks.items()}
         | {"starts_hash": flag(x.startswith("#"))} | {k: flag(x.rlike(p)) for k, p in starts.items()}
         | {f"is_short_{k}": flag(n <= k) for k in (40, 80, 120)}
-        | {"title_like": T.title_like(x), "all_caps": flag(T.upper_ratio(x) >= F.lit(0.6)), "mostly_lower": flag((T.upper_ratio(x) <= F.lit(0.12)) & (n > 30))}
+        | {"title_like": T.title_like(x, ratio=ratio), "all_caps": flag(ratio >= F.lit(0.6)), "mostly_lower": flag((ratio <= F.lit(0.12)) & (n > 30))}
         | marker_flags(x, pack)
     )
     any_regex = F.greatest(*(F.col(f"regex_{m}") for m in P.MARKERS))
@@ -193,7 +212,21 @@ def wide_features(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LEG
         | {"line_is_empty_like": flag(n <= 2), "has_markdown_table": flag(x.rlike(r"\|.*\|")), "has_ocr_noise": flag(F.regexp_count(x, F.lit(r"(?U)[^\p{L}\p{N}_\s.,;:()/-]")) >= 3)}
         | {"accentless_marker_hit": flag(any_plain)} | _near(pos) | {"near_end": flag(pos >= F.lit(0.72))}
     )
-    return context_features(out, name).drop("__z")
+    out = out.drop("__z", "__low", "__ratio")
+    return context_beside(out, pack) if {"previous_1", "next_1"} <= set(out.columns) else context_features(out, name)
+
+
+def context_beside(rows: DataFrame, pack: P.Pack = P.LEGAL_VI) -> DataFrame:
+    """[WIN-3] The same as context_features for rows of line_rows(around=1), from the neighbouring lines themselves."""
+    sides = [("prev", F.col("previous_1")), ("next", F.col("next_1"))]
+    flags = {f"__{side}_{k}": f for side, x in sides for k, f in marker_flags(x, pack).items()}
+    near = {}
+    for side, x in sides:
+        near[f"{side}_regex_any"] = F.greatest(*(F.col(f"__{side}_regex_{m}") for m in P.MARKERS))
+        near[f"{side}_title_like"] = T.title_like(x)
+        near[f"{side}_blank_like"] = F.when(x.isNull(), 1.0).otherwise(flag(x == ""))
+    wide = {f"window_regex_{m}": F.greatest(F.col(f"regex_{m}"), *(F.col(f"__{side}_regex_{m}") * F.lit(0.65) for side, _ in sides)) for m in P.MARKERS}
+    return rows.withColumns(flags).withColumns(near | wide).drop(*flags)
 
 
 def context_features(rows: DataFrame, name: str = "file_name") -> DataFrame:

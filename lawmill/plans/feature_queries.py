@@ -19,9 +19,9 @@ _SOURCE = f"(SELECT doc_id, {_TEXT} AS text FROM documents)"
 _MARKED = _LINES.replace("FROM documents", f"FROM {_SOURCE}")
 
 
-def _marked(spark, sf_dir):
+def _marked(spark, sf_dir, around=0):
     docs = _docs(spark, sf_dir).select("doc_id", F.expr(_TEXT).alias("text"))
-    return S.line_rows(docs, "doc_id")
+    return S.line_rows(docs, "doc_id", around=around)
 
 
 def _has(column: str, words: list[str]) -> str:
@@ -67,5 +67,5 @@ def line_features(spark, sf_dir):
 @query(f"WITH {_MARKED}, r AS (SELECT *, {_ROW} FROM lines), b AS (SELECT doc_id, line_index, {', '.join(f'{v} AS {k}' for k, v in _BASE.items())} FROM r), c AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _AROUND.items())} FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line_index)) SELECT doc_id, line_index::INT AS line_index, {_rounded([*_BASE, *_AROUND])} FROM c")
 def line_features_wide(spark, sf_dir):
     """FEA-3, WIN-3, SCL-8, SCL-9: all 59 columns of a line and 11 of its neighbours, accents stripped on the way"""
-    made = S.wide_features(_marked(spark, sf_dir), "doc_id", P.LICENSE_EN)
+    made = S.wide_features(_marked(spark, sf_dir, 1), "doc_id", P.LICENSE_EN)
     return made.select("doc_id", "line_index", *(F.round(k, 9).alias(k) for k in [*_BASE, *_AROUND]))
