@@ -72,3 +72,22 @@ def test_nulls_repeats_and_no_titles(spark):
     assert [r["best_f1"] for r in M.best_title(rows, none, "k").collect()] == [0.0] * 4
     some = spark.createDataFrame([("A b",), ("a B",), (None,)], "title string")
     assert sorted((str(r["k"]), round(r["best_f1"], 3)) for r in M.best_title(rows, some, "k").collect()) == [("1", 0.0), ("1", 1.0), ("2", 0.0), ("None", 0.667)]
+
+
+def test_few_titles_are_counted_where_the_texts_are(spark, tmp_path):
+    """Sets of candidates once moved to be scored: twenty times the texts. Now only the texts are dealt out."""
+    titles, laws = made(9, 50, 1, 12), [*made(10, 70, 1, 40), "none of these", ""]
+    got = M.best_title(spark.createDataFrame(list(enumerate(laws)), KIND), spark.createDataFrame([(t,) for t in titles], "title string"), "k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan and "Join" not in plan
+    for r in got.collect():
+        assert r["best_f1"] == max(f1(laws[r["k"]], t) for t in titles) if laws[r["k"]] else r["best_f1"] == 0.0
+
+
+def test_counters_are_bounded(spark, monkeypatch):
+    titles, laws = made(11, 30, 1, 12), made(12, 50, 1, 20)
+    sets = [sorted(set(t.split())) for t in titles]
+    texts = spark.createDataFrame([(k, list(dict.fromkeys(x.split()))) for k, x in enumerate(laws)] + [(99, None)], "k long, w array<string>")
+    monkeypatch.setattr(M, "COUNTERS", 1)
+    for r in M.counted(texts, sets).collect():
+        assert r["f"] == (max(f1(laws[r["k"]], t) for t in titles) if r["k"] < 99 else 0.0)
