@@ -123,3 +123,36 @@ def test_documents_to_sections(spark, wide):
     p = I.line_predictions(rows).first()["line_predictions"]
     assert [x["line_index"] for x in p] == list(range(len(lines))) and set(p[0]["scores"]) == set(P.MARKERS) and p[0]["tag"] == "preamble"
     assert S.predict(docs, rows).count() == 3 and rows.agg(F.count("*")).first()[0] == len(lines)
+
+
+def test_phrases_beside_their_tokens_need_no_join_of_rows(spark):
+    """Hits once came back by a join of all tokens on key and place, which shuffled every feature."""
+    from lawmill.operators import tagging as B
+
+    rows = spark.createDataFrame([(k, i, t) for k in range(3) for i, t in enumerate("a b c a b a b c d x".split()[k:])], "k long, pos int, token string")
+    phrases = spark.createDataFrame([("a b", 2), ("a b c", 3), ("b c", 2), ("x", 1), ("d x y", 3)], "phrase string, n int")
+    got = B.with_phrases(rows, phrases, "k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(k#" in plan and not any("hashpartitioning(k#" in x and ", pos#" in x for x in plan.split("\n"))
+    hits = {(r["k"], r["pos"]): (r["begin"], r["inside"]) for r in B.phrase_hits(rows, phrases, "k").collect()}
+    for r in got.collect():
+        assert (r["begin"] or 0, r["inside"] or 0) == hits.get((r["k"], r["pos"]), (0, 0))
+
+
+def test_few_sequences_at_a_time(spark, monkeypatch):
+    """Answers leave in small record batches, whatever comes in, and paths found side by side are those found alone."""
+    import numpy as np
+
+    from lawmill.operators import inference as I
+    from lawmill.operators import models as M
+
+    rng = np.random.default_rng(3)
+    chain = M.Crf(rng.normal(size=5), rng.normal(size=5), rng.normal(size=(5, 5)))
+    es = [rng.normal(size=(n, 5)) for n in (3, 0, 7, 1, 12, 12, 5, 2)]
+    assert I.best_paths(chain, es) == [chain.decode(e) for e in es]
+    b = M.new_bundle(4, 2, 0, 3, 4, 2, 2, 1, 4)
+    config = {"words": {"a": 2, "b": 3}, "chars": {}, "tags": ["<PAD>", "O", "B-X"], "max_word_len": 4}
+    rows = spark.createDataFrame([(i, ["a", "b", "z"][: i % 4]) for i in range(600)] + [(600, None)], "k long, tokens array<string>").coalesce(1)
+    whole = I.tag_sequences(rows, "k", (b, config), feats=None, probs=False)
+    assert whole.columns == ["k", "tokens", "tags"]
+    assert sorted((r["k"], len(r["tokens"]), len(r["tags"])) for r in whole.collect()) == [(i, *[min(i % 4, 3)] * 2) for i in range(600)] + [(600, 0, 0)]
