@@ -170,3 +170,41 @@ def test_calls_are_made_again():
     assert listing.again(call, sleep=waits.append) == ["x"] and waits == [0.6, 1.2]
     with pytest.raises(ZeroDivisionError):
         listing.again(lambda: 1 / 0, 2, sleep=waits.append)
+
+
+def test_few_calls_for_an_address():
+    """An address settled at first sight costs one get and one update of its state; timers are asked for after failures only."""
+    from pyspark.sql import Row
+
+    calls, timers, kept = [], [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            kept["v"] = v
+
+    class Handle:
+        getValueState = staticmethod(lambda name, kind: Value())
+        registerTimer = staticmethod(timers.append)
+        deleteTimer = staticmethod(timers.remove)
+
+        @staticmethod
+        def listTimers():
+            calls.append("list")
+            return iter(list(timers))
+
+    def said(*rows):
+        calls.clear()
+        return [tuple(r) for r in crawl.handleInputRows(("a",), iter([Row(seq=n, status=s, ts=0) for n, s in rows]), None)]
+
+    crawl = S.Crawl()
+    crawl.init(Handle())
+    assert said((2, "downloaded"), (1, None)) == [("a", "state", "downloaded", 0, 2)] and calls == ["get", "update"]
+    assert said((3, "failed")) == [] and calls == ["get"]
+    kept.clear()
+    assert said((4, "failed")) == [("a", "state", "failed", 1, 4)] and timers == [60_000]
+    assert said((5, "downloaded")) == [("a", "state", "downloaded", 1, 5)] and calls == ["get", "update", "list"] and timers == []
