@@ -55,21 +55,29 @@ class Weights:
 
 
 def sums(chain: M.Crf, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log partition of each sequence, tag probabilities, summed move probabilities) of padded scores e [sequence, place, tag]."""
+    """(log partition of each sequence, tag probabilities, summed move probabilities) of padded scores e [sequence, place, tag].
+
+    Sums are brought back to 1 at every place, so a long sequence is as exact as a short one.
+    """
     rows, longest, _ = e.shape
     a, b = np.zeros_like(e), np.broadcast_to(chain.end, e.shape).copy()
-    a[:, 0] = chain.start + e[:, 0]
-    for i in range(1, longest):
-        a[:, i] = M.logsumexp(a[:, i - 1, :, None] + chain.move, 1) + e[:, i]
+    z = np.zeros(rows)
+    for i in range(longest):
+        now = chain.start + e[:, 0] if i == 0 else M.logsumexp(a[:, i - 1, :, None] + chain.move, 1) + e[:, i]
+        size = M.logsumexp(now, 1)
+        a[:, i] = now - size[:, None]
+        z += np.where(i < n, size, 0.0)
     for i in range(longest - 2, -1, -1):
         inside = i + 1 < n
-        b[inside, i] = M.logsumexp(chain.move + (e[inside, i + 1] + b[inside, i + 1])[:, None, :], 2)
-    z = M.logsumexp(a[np.arange(rows), n - 1] + chain.end, 1)
+        back = M.logsumexp(chain.move + (e[inside, i + 1] + b[inside, i + 1])[:, None, :], 2)
+        b[inside, i] = back - back.max(1, keepdims=True)
+    z += M.logsumexp(a[np.arange(rows), n - 1] + chain.end, 1)
     moves = np.zeros_like(chain.move)
     for i in range(longest - 1):
         inside = i + 1 < n
-        moves += np.exp(a[inside, i, :, None] + chain.move + (e[inside, i + 1] + b[inside, i + 1])[:, None, :] - z[inside, None, None]).sum(0)
-    return z, np.exp(a + b - z[:, None, None]) * (np.arange(longest) < n[:, None])[..., None], moves
+        pair = a[inside, i, :, None] + chain.move + (e[inside, i + 1] + b[inside, i + 1])[:, None, :]
+        moves += M.softmax(pair.reshape(len(pair), -1)).sum(0).reshape(moves.shape)
+    return z, M.softmax(a + b) * (np.arange(longest) < n[:, None])[..., None], moves
 
 
 def best(chain: M.Crf, e: np.ndarray, n: np.ndarray) -> np.ndarray:

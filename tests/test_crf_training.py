@@ -124,3 +124,16 @@ def test_registered_training(spark):
     held = [r for r in rows if r["held_out"]]
     assert len(held) > 10 and sum(r["n_right"] for r in held) > 0.97 * sum(r["n_lines"] for r in held)
     assert M.parameters(R.Weights.zero(2, 3).__dict__) == 6 + 9 + 9
+
+
+def test_long_sequences_are_as_exact_as_short_ones():
+    """At zero weights every tag but padding is equally likely; sums over the whole sequence once drifted with its length."""
+    import numpy as np
+
+    from lawmill.operators import crf_training as R
+
+    n = np.array([30_000, 10_000, 1])
+    z, p, moves = R.sums(R.Weights.zero(1, 7).chain(), np.zeros((3, 30_000, 7)), n)
+    assert np.abs(z / (n * np.log(6)) - 1).max() < 1e-11
+    assert all(np.abs(p[k, : n[k], 1:] - 1 / 6).max() < 1e-14 and not p[k, n[k] :].any() for k in range(3))
+    assert not p[:, :, 0].any() and np.abs(moves[1:, 1:] - (n - 1).sum() / 36).max() < 1e-8
