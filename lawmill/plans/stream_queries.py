@@ -60,10 +60,12 @@ def crawl_states(spark, sf_dir):
 def listing_stream(spark, sf_dir):
     """SRC-15, STR-1, STR-4, FLT-9, SRT-10: a site of pages by group; offsets on the driver, pages fetched on the executors"""
     root = scratch.folder(spark, "site")
-    page = (F.floor(F.col("event_id") / 64) + 1).cast("string")
-    links = F.to_json(F.array_sort(F.collect_set(F.concat(F.lit("https://h/"), F.col("user_id").cast("string")))))
-    pages = _t(spark, sf_dir, "events").groupBy("event_type", page.alias("page")).agg(links.alias("links"))
-    files = pages.select(F.concat("event_type", F.lit("/"), "page", F.lit(".json")).alias("name"), F.col("links").cast("binary").alias("content"))
+    page = (F.floor(F.col("event_id") / 64) + 1).alias("page")
+    links = F.array_sort(F.collect_set(F.concat(F.lit("https://h/"), F.col("user_id").cast("string"))))
+    pages = _t(spark, sf_dir, "events").groupBy("event_type", page).agg(links.alias("links"))
+    k = F.floor((F.col("page") - 1) / listing.FolderSite.PAGES).cast("string")
+    some = pages.groupBy("event_type", k.alias("k")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("page").cast("string"), "links")))).alias("content"))
+    files = some.select(F.concat("event_type", F.lit("/"), "k", F.lit(".json")).alias("name"), F.col("content").cast("binary").alias("content"))
     root = root if "://" in root else f"file://{root.removeprefix('file:')}"
     readers.write_files(files, root, "name", "content").count()
     groups = [r[0] for r in _t(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]

@@ -208,3 +208,17 @@ def test_few_calls_for_an_address():
     kept.clear()
     assert said((4, "failed")) == [("a", "state", "failed", 1, 4)] and timers == [60_000]
     assert said((5, "downloaded")) == [("a", "state", "downloaded", 1, 5)] and calls == ["get", "update", "list"] and timers == []
+
+
+def test_listing_of_many_pages_takes_few_tasks_and_files(spark, tmp_path):
+    """Runs grow with the pages, and a site's folder holds a file for many pages; pages without links and groups without pages give nothing."""
+    pages = listing.ListingStream({"site": "lawmill.sources.listing:FolderSite", "groups": '["a", "b"]', "pages": "16"})
+    runs = pages.runs({"b": 7}, {"a": 1_000_000, "b": 10})
+    assert len(runs) <= listing.MOST_RUNS + 2 and sum(r.last - r.first + 1 for r in runs) == 1_000_003 and runs[-1].first == 8
+    size = listing.FolderSite.PAGES
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "0.json").write_text(json.dumps({"1": ["x"], str(size): ["y", "z"]}))
+    (tmp_path / "a" / "2.json").write_text(json.dumps({str(2 * size + 3): ["w"]}))
+    site = listing.FolderSite({"root": f"file://{tmp_path}"})
+    assert site.pages("a") == 2 * size + 3 and site.pages("none") == 0
+    assert [site.links("a", p) for p in (1, 2, size, size + 1, 2 * size + 3)] == [["x"], [], ["y", "z"], [], ["w"]]
