@@ -50,9 +50,10 @@ class Names:
         """(name, first and last token, characters) of every place that touches a token, by start, then length."""
         if not self.some or not text:
             return []
-        spans = [m.span() for m in _TOKENS.finditer(text)]
+        hits = list(self.automaton.iter(text.lower()))
+        spans = [m.span() for m in _TOKENS.finditer(text)] if hits else []
         starts, ends, out = [a for a, _ in spans], [b for _, b in spans], []
-        for end, (size, names) in self.automaton.iter(text.lower()):
+        for end, (size, names) in hits:
             first, last = bisect_right(ends, end + 1 - size), bisect_left(starts, end + 1) - 1
             if first <= last:
                 out += [(end + 1 - size, size, n, first, last) for n in names]
@@ -66,17 +67,25 @@ def own_places(text: pd.Series, forms: pd.Series) -> pd.Series:
 
 
 def dictionary_places(names: list[tuple[int, str]], spark) -> Column:
-    """[JON-9] A function of a text column: places of the names of a broadcast dictionary."""
+    """[JON-9, SEM-7] A function of a text column: the longest place of each name of a broadcast dictionary, the first of equals."""
     sent = spark.sparkContext.broadcast(names)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         found = Names(sent.value)
         for batch in texts:
-            yield batch.map(found.places)
+            yield batch.map(lambda t: longest_places(found.places(t)))
 
     return F.pandas_udf(run, PLACES)
 
 
+def longest_places(places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    best: dict = {}
+    for p in places:
+        if p[0] not in best or p[3] > best[p[0]][3]:
+            best[p[0]] = p
+    return list(best.values())
+
+
 def longest(places: Column) -> Column:
     """[SEM-7] The longest place of an array in order of start, the first of equals; null for none."""
     best = F.array_max(F.transform(places, lambda p, k: F.struct(p["size"].alias("size"), (-k).alias("k"), p.alias("p"))))
@@ -128,9 +137,10 @@ def bio(tokens: Column, marked: Column) -> Column:
 
 
 def article_spans(tokens: Column, articles: Column) -> Column:
-    clean = F.transform(tokens, T.clean_token)
     named = F.array_distinct(F.filter(F.transform(articles, T.strip), lambda a: a != ""))
-    return first_unused(F.transform(named, lambda a: article_places(clean, T.clean_token(a))))
+    # the clean tokens are bound: written out in the lambdas, they would be made anew at every place of an article
+    spots = lambda clean: F.transform(named, lambda a: T.let(T.clean_token(a), lambda x: article_places(clean, x)))
+    return T.let(F.transform(tokens, T.clean_token), lambda clean: first_unused(spots(clean)))
 
 
 def tagged(rows: DataFrame) -> DataFrame:
@@ -178,8 +188,9 @@ def document_tags(docs: DataFrame, names: DataFrame, key: str, text: str = "text
     in parts of at most NAME_CHARS characters, each a pass of its own. Keys must be unique; null texts have no tokens.
     """
     parts, size = [[]], 0
-    for r in names.where("form is not null").select("name", F.trim("form").alias("form")).toLocalIterator():  # a dictionary, taken in parts
-        if size > NAME_CHARS:
+    for r in names.where("form is not null").select("name", F.trim("form").alias("form")).orderBy("name").toLocalIterator():  # a dictionary, taken in parts
+        # the forms of a name stay together, since each part gives its longest place
+        if size > NAME_CHARS and parts[-1][-1][0] != r["name"]:
             parts.append([])
             size = 0
         parts[-1].append((r["name"], r["form"]))
@@ -187,17 +198,23 @@ def document_tags(docs: DataFrame, names: DataFrame, key: str, text: str = "text
     found = docs.select(key, F.col(text).alias("__text"), *([F.col(articles).alias("__arts")] if articles else []), T.tokens(F.col(text)).alias("__tokens"))
     spark, none = docs.sparkSession, F.array().cast(PLACES)
     found = found.withColumn("__at", F.concat(*(F.coalesce(dictionary_places(p, spark)("__text"), none) for p in parts)))
-    hits = found.select(key, F.explode("__at").alias("__p")).groupBy(key, F.col("__p.name").alias("__name"))
-    hits = hits.agg(F.max_by("__p", F.struct("__p.size", -F.col("__p.first"))).alias("__p"))
-
-    def spread(rows: DataFrame, rank: Column, label: str) -> DataFrame:
-        return rows.select(key, rank.alias("__rank"), F.posexplode(F.sequence("__p.first", "__p.last")).alias("__i", "pos"), F.lit(label).alias("__label"))
-
-    spans = spread(hits, F.col("__name").cast("long"), "LAW")
-    if articles:
-        given = F.coalesce("__arts", F.array().cast("array<string>"))
-        arts = found.select(key, F.posexplode(article_spans(F.col("__tokens"), given)).alias("__k", "__p"))
-        spans = spans.unionByName(spread(arts, F.col("__k") + F.lit(1 << 40), "ART"))
-    tag = F.concat(F.when(F.col("__i") == 0, "B-").otherwise("I-"), "__label")
-    tags = spans.groupBy(key, "pos").agg(F.max_by(tag, "__rank").alias("tag"))
-    return found.select(key, F.posexplode("__tokens").alias("pos", "token")).join(tags, [key, "pos"])
+    if not articles:
+        found = found.withColumn("__arts", none_of("string"))
+    given = F.coalesce("__arts", none_of("string"))
+
+    def spread(tokens: Column, mark: Column, rank: Column, label: str) -> Column:
+        tag = lambda i: F.concat(F.when(i == mark["first"], "B-").otherwise("I-"), F.lit(label))
+        return F.transform(F.sequence(mark["first"], mark["last"]), lambda i: F.struct(i.alias("pos"), F.get(tokens, i).alias("token"), rank.cast("long").alias("rank"), tag(i).alias("tag")))
+
+    def every(tokens: Column) -> Column:
+        laws = F.transform("__at", lambda p: spread(tokens, p, p["name"], "LAW"))
+        arts = F.transform(article_spans(tokens, given), lambda p, k: spread(tokens, p, k + F.lit(1 << 40), "ART"))
+        return F.flatten(F.concat(laws, arts))
+
+    # only tagged tokens leave their text; the array is bound, since lambdas look into it
+    rows = found.select(key, F.explode(T.let(F.col("__tokens"), every)).alias("__s"))
+    return rows.groupBy(key, F.col("__s.pos").alias("pos")).agg(F.first("__s.token").alias("token"), F.max_by("__s.tag", "__s.rank").alias("tag"))
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")

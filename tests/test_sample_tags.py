@@ -46,3 +46,17 @@ def test_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x one two three four two", ["9"]), (2, None, None), (3, "ONETWO one  two", []), (4, "điều 9 9", ["9", "9."])], "k long, text string, arts array<string>")
     got = sorted((r["k"], r["pos"], r["token"], r["tag"]) for r in A.document_tags(docs, names, "k", articles="arts").collect())
     assert got == [(1, 1, "one", "B-LAW"), (1, 2, "two", "B-LAW"), (1, 3, "three", "I-LAW"), (1, 4, "four", "I-LAW"), (3, 0, "ONETWO", "B-LAW"), (4, 0, "điều", "B-ART"), (4, 1, "9", "I-ART"), (4, 2, "9", "B-ART")]
+
+
+def test_only_tagged_tokens_leave_their_documents(spark):
+    """A name's longest place is taken in its document, and the tokens of a text are joined with nothing."""
+    from lawmill.operators import sample_tags as A
+
+    assert A.longest_places([(1, 0, 1, 5), (2, 3, 3, 4), (1, 2, 5, 9), (1, 7, 9, 9)]) == [(1, 2, 5, 9), (2, 3, 3, 4)]
+    docs = spark.createDataFrame([(1, "theo điều 5 luật đất đai, điều 5. luật", ["5", "5.", "6"]), (2, None, ["5"]), (3, "luật", None)], "k long, text string, arts array<string>")
+    names = spark.createDataFrame([(0, "Luật"), (1, "luật đất đai"), (0, "luật đất")], "name int, form string")
+    made = A.document_tags(docs, names, "k", articles="arts")
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.columns == ["k", "pos", "token", "tag"]
+    want = [(1, 1, "điều", "B-ART"), (1, 2, "5", "I-ART"), (1, 3, "luật", "B-LAW"), (1, 4, "đất", "I-LAW"), (1, 5, "đai", "I-LAW"), (1, 7, "điều", "B-ART"), (1, 8, "5", "I-ART"), (3, 0, "luật", "B-LAW")]
+    assert sorted(map(tuple, made.collect())) == want
