@@ -18,7 +18,7 @@ TERM_CHARS = 4_000_000
 
 def found(c: Column, pack: P.Pack) -> Column:
     """[SCL-16, SCL-22, FLT-1, FLT-2, AGG-1] Distinct citations of a normalised text, first occurrence first."""
-    hits = F.transform(F.regexp_extract_all(c, F.lit(pack.citation), F.lit(0)), T.collapse)
+    hits = F.transform(F.regexp_extract_all(c, F.lit(pack.quick_citation), F.lit(0)), T.collapse)
     kept = F.filter(hits, lambda m: (F.size(F.split(m, " ")) > 2) & ~F.contains(F.lower(m), F.lit(pack.unwanted)))
     return F.array_distinct(kept)
 
