@@ -76,7 +76,7 @@ def sums(chain: M.Crf, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nda
     for i in range(longest - 1):
         inside = i + 1 < n
         pair = a[inside, i, :, None] + chain.move + (e[inside, i + 1] + b[inside, i + 1])[:, None, :]
-        moves += M.softmax(pair.reshape(len(pair), -1)).sum(0).reshape(moves.shape)
+        moves += M.softmax(pair.reshape(len(pair), moves.size)).sum(0).reshape(moves.shape)
     return z, M.softmax(a + b) * (np.arange(longest) < n[:, None])[..., None], moves
 
 
@@ -144,6 +144,12 @@ def counts(w: Weights, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarra
     return np.concatenate([right, np.bincount(a, minlength=tags) - right, np.bincount(b, minlength=tags) - right]).astype(float)
 
 
+def picked(mine: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen sequences of a pack, padded to the longest of them only."""
+    n = n[mine]
+    return n, x[mine, : n.max()], y[mine, : n.max()]
+
+
 def totals(samples: DataFrame, w: Weights) -> np.ndarray:
     """gradient() of the rows of samples(features, gold, held) that are not held, then counts() of those that are."""
     shared, width = samples.sparkSession.sparkContext.broadcast(w), w.score.shape[0]
@@ -157,9 +163,9 @@ def totals(samples: DataFrame, w: Weights) -> np.ndarray:
             for rows, n, x, y in padded(batch, width):
                 mine = held[rows]
                 if not mine.all():
-                    learnt += gradient(now, n[~mine], x[~mine], y[~mine])
+                    learnt += gradient(now, *picked(~mine, n, x, y))
                 if mine.any():
-                    judged += counts(now, n[mine], x[mine], y[mine])
+                    judged += counts(now, *picked(mine, n, x, y))
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([learnt, judged])], pa.list_(pa.float64()))], ["v"])
 
     added = samples.select("features", "gold", "held").mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))

@@ -137,3 +137,29 @@ def test_long_sequences_are_as_exact_as_short_ones():
     assert np.abs(z / (n * np.log(6)) - 1).max() < 1e-11
     assert all(np.abs(p[k, : n[k], 1:] - 1 / 6).max() < 1e-14 and not p[k, n[k] :].any() for k in range(3))
     assert not p[:, :, 0].any() and np.abs(moves[1:, 1:] - (n - 1).sum() / 36).max() < 1e-8
+
+
+def test_long_held_out_sequences_beside_short_ones(spark):
+    """A pack whose longest sequences are all held out once stopped the training; what is learnt must not depend on them."""
+    rng = np.random.default_rng(8)
+    data = [(rng.normal(0, 1, (n, 3)), rng.integers(1, 4, n)) for n in (9, 7, 3, 2, 2)]
+    made = R.encoded(frame(spark, data).coalesce(1), "id", TAGS).selectExpr("*", "id < 2 AS held")
+    w = random_weights(rng)
+    total = R.totals(made, w)
+    assert total[: -3 * len(TAGS)] == pytest.approx(R.gradient(w, *padded(data[2:])))
+    assert total[-3 * len(TAGS) :] == pytest.approx(R.counts(w, *padded(data[:2])))
+
+
+def test_samples_need_no_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from lawmill.operators import sections as S
+    from lawmill.plans import training_queries as Q
+
+    docs = spark.createDataFrame([(1, "Licensed under x\n\nplain\nALL RIGHTS reserved"), (2, None), (3, " \n"), (4, "one")], "doc_id long, text string")
+    made = Q.samples(docs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("split(") == 1
+    rows = S.features(S.line_rows(docs, "doc_id"), Q.P.LICENSE_EN).withColumn("gold", Q._marker(F.col("line"))).orderBy("doc_id", "line_index").collect()
+    got = {r["doc_id"]: (r["features"], r["gold"]) for r in made.collect()}
+    assert got.pop(2) == got.pop(3) == ([], []) and got == {k: ([[r[c] for c in Q._NAMES] for r in rows if r["doc_id"] == k], [r["gold"] for r in rows if r["doc_id"] == k]) for k in (1, 4)}
