@@ -24,14 +24,14 @@ def line_rows(docs: DataFrame, name: str = "file_name", text: str = "text", unic
     array, so what looks at neighbours needs no window.
     """
     made = docs.select(name, T.lines(F.col(text), unicode_form).alias("line"))
-    if not around:
-        return made.select(name, F.size("line").alias("n_lines"), F.posexplode("line").alias("line_index", "line"))
     n = F.size("line")
     gap = lambda k: F.array_repeat(F.lit(None).cast("string"), F.least(n, F.lit(k)))
     kept = lambda k: F.greatest(n - k, F.lit(0))
     moved = {f"previous_{k}": F.concat(gap(k), F.slice("line", F.lit(1), kept(k))) for k in range(around, 0, -1)}
     moved |= {f"next_{k}": F.concat(F.slice("line", F.lit(k + 1), kept(k)), gap(k)) for k in range(1, around + 1)}
-    each = made.withColumns(moved).select(name, n.alias("n_lines"), F.posexplode(F.arrays_zip("line", *moved)).alias("line_index", "z"))
+    # a bare array would be tested for emptiness below the step that makes it, which makes it twice; zipped it is not. The number of
+    # lines is taken before, so that no row carries its document's whole array along
+    each = made.withColumns(moved | {"n_lines": n}).select(name, "n_lines", F.posexplode(F.arrays_zip("line", *moved)).alias("line_index", "z"))
     return each.select(name, "n_lines", "line_index", "z.line", *(f"z.{c}" for c in moved))
 
 
@@ -141,17 +141,22 @@ def _has(c: Column, words: list[str]) -> Column:
     return out
 
 
-def _shares(x: Column, pos: Column, ratio: Column) -> dict[str, Column]:
+def _shares(x: Column, pos: Column, ratio: Column, m: Column) -> dict[str, Column]:
+    """m: T.measures(x)."""
     n = F.length(x)
-    words = F.size(T.tokens(x))
     return {
         "pos_ratio": pos, "pos_from_end": 1.0 - pos,
-        "log_chars": F.least(F.lit(1.0), F.log1p(n) / 7.0), "log_words": F.least(F.lit(1.0), F.log1p(words) / 5.0),
-        "upper_ratio": ratio, "digit_ratio": F.length(F.regexp_replace(x, r"[^\p{Nd}]+", "")) / F.greatest(F.lit(1), n),
-        "punct_ratio": F.length(F.regexp_replace(x, r"(?U)[\p{L}\p{N}\s]+", "")) / F.greatest(F.lit(1), n),
+        "log_chars": F.least(F.lit(1.0), F.log1p(n) / 7.0), "log_words": F.least(F.lit(1.0), F.log1p(m["tokens"]) / 5.0),
+        "upper_ratio": ratio, "digit_ratio": m["digits"] / F.greatest(F.lit(1), n),
+        "punct_ratio": m["marks"] / F.greatest(F.lit(1), n),
     }
 
 
+def _ratio(m: Column) -> Column:
+    """T.upper_ratio of a line from its measures."""
+    return m["capitals"] / F.greatest(m["letters"], F.lit(1))
+
+
 def _near(pos: Column) -> dict[str, Column]:
     return {"near_top": flag(pos <= F.lit(0.2)), "near_middle": flag((pos > F.lit(0.2)) & (pos < F.lit(0.78))), "near_late": flag(pos >= F.lit(0.45))}
 
@@ -165,15 +170,15 @@ def features(rows: DataFrame, pack: P.Pack = P.LEGAL_VI) -> DataFrame:
     """[FEA-2] Rows (…, line, line_index, n_lines) with the 26 line features as columns."""
     x, pos = F.col("line"), position(F.col("line_index"), F.col("n_lines"))
     # what several features share is worked out in a step of its own
-    low, ratio = F.col("__low"), F.col("__ratio")
-    return rows.withColumns({"__low": F.lower(x), "__ratio": T.upper_ratio(x)}).withColumns(
-        _shares(x, pos, ratio)
+    low, m, ratio = F.col("__low"), F.col("__m"), _ratio(F.col("__m"))
+    return rows.withColumns({"__low": F.lower(x), "__m": T.measures(x)}).withColumns(
+        _shares(x, pos, ratio, m)
         | {"has_colon": flag(F.contains(x, F.lit(":"))), "starts_hash": flag(x.startswith("#")), "starts_number": flag(x.rlike(P.HEADING_NUMBER))}
         | {"is_short": flag(F.length(x) <= 100), "title_like": T.title_like(x, ratio=ratio), "all_caps": flag(ratio >= F.lit(0.6))}
         | marker_flags(x, pack)
         | {k: flag(_has(low, words)) for k, words in _KEYS.items()}
         | _near(pos)
-    ).drop("__low", "__ratio")
+    ).drop("__low", "__m")
 
 
 def wide_features(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LEGAL_VI, plain: Column | None = None) -> DataFrame:
@@ -182,8 +187,8 @@ def wide_features(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LEG
     Rows of line_rows(around=1) have their neighbours beside them, and nothing is shuffled.
     """
     x, pos, n = F.col("line"), position(F.col("line_index"), F.col("n_lines")), F.length(F.col("line"))
-    rows = rows.withColumns({"__z": F.concat(F.lit(" "), T.plain_line(x) if plain is None else plain), "__low": F.lower(x), "__ratio": T.upper_ratio(x)})
-    low, z, ratio = F.col("__low"), F.col("__z"), F.col("__ratio")
+    rows = rows.withColumns({"__z": F.concat(F.lit(" "), T.plain_line(x) if plain is None else plain), "__low": F.lower(x), "__m": T.measures(x)})
+    low, z, m, ratio = F.col("__low"), F.col("__z"), F.col("__m"), _ratio(F.col("__m"))
     plain_flags = {m: _has(z, words) for m, words in _PLAIN.items()}
     any_plain = F.lit(False)
     for c in plain_flags.values():
@@ -195,7 +200,7 @@ def wide_features(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LEG
     starts = {"starts_number": r"^\s*\p{Nd}+[.)-]", "starts_roman": r"(?i)^\s*[IVX]+[.)-]", "starts_bracket_number": r"^\s*\[?\p{Nd}+(?:\.\p{Nd}+)*\]"}
     keyed = zip(_KEYS.items(), P.MARKERS, strict=True)
     out = rows.withColumns(
-        _shares(x, pos, ratio) | buckets
+        _shares(x, pos, ratio, m) | buckets
         | {"space_ratio": F.length(F.regexp_replace(x, r"(?U)\S+", "")) / F.greatest(F.lit(1), n)}
         | {k: flag(F.contains(x, F.lit(m))) for k, m in marks.items()}
         | {"starts_hash": flag(x.startswith("#"))} | {k: flag(x.rlike(p)) for k, p in starts.items()}
@@ -212,7 +217,7 @@ def wide_features(rows: DataFrame, name: str = "file_name", pack: P.Pack = P.LEG
         | {"line_is_empty_like": flag(n <= 2), "has_markdown_table": flag(x.rlike(r"\|.*\|")), "has_ocr_noise": flag(F.regexp_count(x, F.lit(r"(?U)[^\p{L}\p{N}_\s.,;:()/-]")) >= 3)}
         | {"accentless_marker_hit": flag(any_plain)} | _near(pos) | {"near_end": flag(pos >= F.lit(0.72))}
     )
-    out = out.drop("__z", "__low", "__ratio")
+    out = out.drop("__z", "__low", "__m")
     return context_beside(out, pack) if {"previous_1", "next_1"} <= set(out.columns) else context_features(out, name)
 
 
